@@ -6,10 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import bpe_codec, chunk_dedup, language, minmax_dedup, packing, token_counts, toxicity
+from grainmill.llm import bpe_codec, chunk_dedup, language, minmax_dedup, packing, quality, token_counts, toxicity
 from grainmill.llm.common import remainder, table
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    return quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+
+
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    scored = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
 
@@ -48,5 +58,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_language_profiles, op4_chunk_dedup, op5_token_counts, op6_minmax_near_dedup, op7_byte_bpe, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_toxicity, op3_language_profiles, op4_chunk_dedup, op5_token_counts, op6_minmax_near_dedup, op7_byte_bpe, op8_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -143,7 +143,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, may_lear
     return docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 24_000, most_words: int = 20_000, prior: float = 0.1, least_z: float = 3.0, margin: float = 0.5, least_score: float = 1.75) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 24_000, most_words: int = 20_000, prior: float = 0.1, least_z: float = 3.0, margin: float = 0.5, least_score: float = 2.5) -> Model:
     """Learns word scores, the chance statistics and the curve from labelled rows for which ``may_learn`` holds."""
     sample = labelled_sample(docs, labels, label_col, may_learn, id_col, text_col, sample_rows)
     for_words = F.pmod(F.xxhash64(id_col, F.lit("part")), F.lit(3)) < 2
