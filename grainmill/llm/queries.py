@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import bpe_codec, chunk_dedup, language, minmax_dedup, packing, quality, token_counts, toxicity
+from grainmill.llm import bpe_codec, chunk_dedup, language, minmax_dedup, packing, quality, token_counts, toxicity, weighted_sampling
 from grainmill.llm.common import remainder, table
 
 
@@ -58,5 +58,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_toxicity, op3_language_profiles, op4_chunk_dedup, op5_token_counts, op6_minmax_near_dedup, op7_byte_bpe, op8_best_fit_packing)}
+def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_toxicity, op3_language_profiles, op4_chunk_dedup, op5_token_counts, op6_minmax_near_dedup, op7_byte_bpe, op8_best_fit_packing, op9_weighted_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
