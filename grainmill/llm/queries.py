@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import bpe_codec, chunk_dedup, language, minmax_dedup, packing, quality, token_counts, toxicity, weighted_sampling
+from grainmill.llm import bpe_codec, chunk_dedup, language, minmax_dedup, neighbours, packing, quality, token_counts, toxicity, weighted_sampling
 from grainmill.llm.common import remainder, table
 
 
@@ -62,5 +62,9 @@ def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_toxicity, op3_language_profiles, op4_chunk_dedup, op5_token_counts, op6_minmax_near_dedup, op7_byte_bpe, op8_best_fit_packing, op9_weighted_fingerprints)}
+def op10_adaptive_scan_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_toxicity, op3_language_profiles, op4_chunk_dedup, op5_token_counts, op6_minmax_near_dedup, op7_byte_bpe, op8_best_fit_packing, op9_weighted_fingerprints, op10_adaptive_scan_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
