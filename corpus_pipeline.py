@@ -1,8 +1,71 @@
-"""Corpus pipeline: filled in stage by stage."""
+"""Corpus pipeline: toxicity, quality, near duplicates, repeated passages, packing.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns the columns of
+``docs``; the last returns packed pieces. Classifiers learn from the labels in ``sf_dir`` of the documents at
+hand. Null and empty texts pass the toxicity stage, and the quality stage as its model scores them; they are
+nobody's near duplicate, have no repeated passage, and are packed as the end id alone. Rows with a null id
+stay. Rows that share an id share one decision in the near-duplicate stage. Extra columns are kept, whatever
+their names, up to the last stage. An empty table gives an empty result.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grainmill.llm import chunk_dedup, minmax_dedup, packing, quality, toxicity
+from grainmill.llm.common import remainder, stored, table
+
+TOXIC_FROM, GOOD_FROM = 0.5, 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under TOXIC_FROM."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return toxicity.keep_rows(docs, spark.sparkContext.broadcast(model), below=TOXIC_FROM)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality scores GOOD_FROM or more; all, if no label could be learned from."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    if model.share is not None:
+        return docs
+    return toxicity.keep_rows(docs, spark.sparkContext.broadcast(model), at_least=GOOD_FROM)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of near duplicates."""
+    gone = minmax_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, passages that repeat earlier ones cut out; n_chars follows, where there is one."""
+    out = chunk_dedup.without_spans(docs, chunk_dedup.repeated_spans(docs))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.lit(0))).cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their sequence and offset."""
+    return packing.pack(packing.cut_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # no stage of learned models or tokenizers can be put in SQL; tests hold it against plain code
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over all documents; each stage's rows are written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
