@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit
+
+def once(value: Column, use) -> Column:
+    """use(value) with the value worked out once, also where it is used for every element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def total(v: Column) -> Column:
@@ -26,7 +29,7 @@ def scaled(v: Column, by: Column) -> Column:
 
 def normalised(v: Column, floor: float = 1e-12) -> Column:
     """v over its length, which counts as ``floor`` at least."""
-    return scaled(v, 1.0 / F.greatest(F.sqrt(dot(v, v)), F.lit(floor)))
+    return once(1.0 / F.greatest(F.sqrt(dot(v, v)), F.lit(floor)), lambda s: scaled(v, s))
 
 
 def argmax(v: Column) -> Column:
@@ -35,9 +38,8 @@ def argmax(v: Column) -> Column:
 
 
 def log_softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    norm = F.log(total(F.transform(v, lambda x: F.exp(x - top)))) + top
-    return F.transform(v, lambda x: x - norm)
+    norm = once(F.array_max(v), lambda top: F.log(total(F.transform(v, lambda x: F.exp(x - top)))) + top)
+    return once(norm, lambda n: F.transform(v, lambda x: x - n))
 
 
 def vector_sum(v: str, size: int, weight: Column | None = None) -> Column:

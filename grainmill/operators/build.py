@@ -103,7 +103,7 @@ def symmetry(matrix: DataFrame) -> DataFrame:
     image = one.select(F.col("col").alias("row"), F.col("row").alias("col"), F.col("val").alias("image"))
     both = one.join(image, ["row", "col"], "full_outer")
     gap = F.abs(F.coalesce("val", F.lit(0.0)) - F.coalesce("image", F.lit(0.0)))
-    return both.agg(F.count("val").alias("entries"), F.count(F.when(F.col("val").isNull() | F.col("image").isNull(), 1)).alias("unpaired"), F.coalesce(F.max(gap), F.lit(0.0)).alias("greatest_gap"))
+    return both.agg(F.count("val").alias("entries"), F.count(F.when(F.col("val").isNotNull() & F.col("image").isNull(), 1)).alias("unpaired"), F.coalesce(F.max(gap), F.lit(0.0)).alias("greatest_gap"))
 
 
 def is_symmetric(matrix: DataFrame, tolerance: float = 1e-8) -> bool:

@@ -22,14 +22,15 @@ def start_vectors(nodes: DataFrame, size: int) -> DataFrame:
 
 def jacobi_vectors(graph: Graph, size: int, iterations: int = 20, start: DataFrame | None = None) -> DataFrame:
     """x <- x - L x / (2 D), D the doubled degree; nodes without edges stay as they are."""
+    from grainmill.plans.stored import stored, stored_edges
+
     x = start_vectors(graph.nodes, size) if start is None else start
-    deg = degree(graph)
+    graph = stored_edges(graph)
+    deg = stored(degree(graph))
     for i in range(iterations):
         moved = laplacian_spmm(graph, x, size).withColumnRenamed("x", "_l")
         x = x.join(moved, "id").join(deg, "id").select("id", F.when(F.col("deg") > 0, F.zip_with("x", "_l", lambda v, l: v - l / (2 * F.col("deg")))).otherwise(F.col("x")).alias("x"))
         if i % 5 == 4:
-            from grainmill.plans.stored import stored
-
             x = stored(x)
     return x
 
@@ -40,8 +41,9 @@ def gauss_seidel_vectors(graph: Graph, size: int, start: DataFrame | None = None
     The recurrence runs along increasing ids, so nodes are worked out level by level: a node is ready when all
     its lesser neighbours are. The number of rounds is the longest increasing path.
     """
-    from grainmill.plans.stored import stored
+    from grainmill.plans.stored import stored, stored_edges
 
+    graph = stored_edges(graph)
     old = stored(start_vectors(graph.nodes, size) if start is None else start)
     deg = stored(degree(graph, "row"))
     edges = graph.edges.where("src <> dst")
@@ -63,8 +65,9 @@ def gauss_seidel_vectors(graph: Graph, size: int, start: DataFrame | None = None
 
 def chebyshev_vectors(graph: Graph, size: int, cut: float, order: int = 50, start: DataFrame | None = None) -> DataFrame:
     """Start vectors through a polynomial low-pass of the Laplacian: 1 up to ``cut``, 0 above; Jackson damping."""
-    from grainmill.plans.stored import stored
+    from grainmill.plans.stored import stored, stored_edges
 
+    graph = stored_edges(graph)
     top = 2.0 * (degree(graph, "row").agg(F.max("deg")).first()[0] or 0.0)
     x = start_vectors(graph.nodes, size) if start is None else start
     if top <= 0:
@@ -218,7 +221,7 @@ def matching_optimal(weights: DataFrame, budget: int) -> DataFrame:
     top = own.agg(F.max("val")).first()[0]
     if top is None:
         return own.select("i", "j")
-    grouped = own.join(components(own.select("i", "j")).toDF("i", "component"), "i")
+    grouped = own.join(components(own.select("i", "j"), "i", "j").toDF("i", "component"), "i")
 
     def match(edges: pa.Table) -> pa.Table:
         i, j, val = (edges.column(c).to_numpy() for c in ("i", "j", "val"))

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from grainmill.graph import Graph
+
 _PATHS: dict[str, SparkSession] = {}
 
 
@@ -24,6 +26,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_edges(graph: Graph) -> Graph:
+    """The graph with its edges written down, for operators that go through them again and again."""
+    return graph.with_edges(stored(graph.edges))
+
+
 @atexit.register
 def _clean() -> None:
     for path, spark in _PATHS.items():

@@ -1,11 +1,737 @@
-"""The registered queries of the graph operators."""
+"""The registered queries of the graph operators and their SQL equivalents."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from grainmill.functions.vectors import log_softmax, normalised, pseudo_random
+from grainmill.graph import Graph, r6
+from grainmill.operators import algebra, build, candidates, frames, linalg, proximity, sage
+from grainmill.plans import multilevel, spectral, training
+from grainmill.sources import graphs
 
-def oracle_sql() -> dict:
-    return {}
+import numpy as np
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+# --- the fixtures, in SQL -------------------------------------------------------------------------
+
+GE = """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label AS y FROM embeddings),
+und AS (SELECT a.id AS i, b.id AS j, 1.0::DOUBLE AS w FROM v a JOIN v b ON a.id < b.id AND list_dot_product(a.x, b.x) > 0.3),
+e AS (SELECT i AS src, j AS dst, w FROM und UNION ALL SELECT j, i, w FROM und),
+dd AS (SELECT v.id, coalesce(2 * s.d, 0.0) AS deg FROM v LEFT JOIN (SELECT src, sum(w) AS d FROM e GROUP BY src) s ON v.id = s.src)"""
+GP = """WITH und AS (SELECT a.l_partkey AS i, b.l_partkey AS j, count(*)::DOUBLE AS w FROM lineitem a JOIN lineitem b
+ ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' GROUP BY 1, 2),
+v AS (SELECT p_partkey AS id, p_size::DOUBLE AS x0, p_retailprice AS x1 FROM part),
+e AS (SELECT i AS src, j AS dst, w FROM und UNION ALL SELECT j, i, w FROM und),
+dd AS (SELECT v.id, coalesce(2 * s.d, 0.0) AS deg FROM v LEFT JOIN (SELECT src, sum(w) AS d FROM e GROUP BY src) s ON v.id = s.src)"""
+#: Sets of three neighbouring ids, whose first member stands for each.
+BLOCKS = """, b0 AS (SELECT id, id // 3 AS g FROM v), b1 AS (SELECT g, min(id) AS rep, count(*) AS nc FROM b0 GROUP BY g),
+asg AS (SELECT b0.id AS fine_id, dense_rank() OVER (ORDER BY rep) - 1 AS coarse_id, 1 / sqrt(nc) AS wt FROM b0 JOIN b1 USING (g))"""
+SPLIT = """, sp0 AS (SELECT id, row_number() OVER (ORDER BY ('0x' || substr(md5(id || ':1'), 1, 12))::BIGINT, id) - 1 AS place, count(*) OVER () AS n FROM v),
+sp AS (SELECT id, CASE WHEN place < floor(n * 0.6) THEN 'train' WHEN place < floor(n * 0.6) + floor(n * 0.2) THEN 'val' ELSE 'test' END AS split FROM sp0)"""
+RND = "((({id}) * 7919 + ({k}) * 104729 + 17 + {salt} * 31) % 1009) / 1009.0::DOUBLE - 0.5::DOUBLE"
+
+
+def rnd(id_sql: str, k: int | str, salt: int = 0) -> str:
+    return "(" + RND.format(id=id_sql, k=k, salt=salt) + ")"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def ge(spark: SparkSession, d: str) -> Graph:
+    return graphs.embedding_graph(spark, d)
+
+
+def gp(spark: SparkSession, d: str) -> Graph:
+    return graphs.copurchase_graph(spark, d)
+
+
+def blocks(nodes: DataFrame) -> DataFrame:
+    sets = nodes.groupBy(F.floor(F.col("id") / 3).alias("g")).agg(F.array_sort(F.collect_list("id")).alias("members"))
+    return algebra.assignment(sets.select("members"), nodes)
+
+
+def basis3(nodes: DataFrame, size: int = 3, name: str = "a") -> DataFrame:
+    return nodes.select("id", F.array(*[pseudo_random(F.col("id"), k) for k in range(size)]).alias(name))
+
+
+def long_form(df: DataFrame, x: str = "x", value: str = "val") -> DataFrame:
+    return df.select("id", F.posexplode(x).alias("k", value)).select(F.col("id").cast("long").alias("id"), F.col("k").cast("long").alias("k"), r6(value).alias(value))
+
+
+def edges_out(df: DataFrame) -> DataFrame:
+    return df.select("src", "dst", r6("w").alias("w"))
+
+
+# --- construction ---------------------------------------------------------------------------------
+
+
+@query(GP + " SELECT src, dst, w FROM e")
+def edges_undirected(spark, d):
+    return build.to_undirected(graphs.copurchase_pairs(spark, d).select(F.col("i").alias("src"), F.col("j").alias("dst"), "w"))
+
+
+@query(GE + " SELECT src, dst, w FROM e")
+def similarity_graph(spark, d):
+    return ge(spark, d).edges
+
+
+@query(GP + " SELECT src, dst, 1.0::DOUBLE AS w FROM e")
+def unit_weights(spark, d):
+    return build.unit_weights(gp(spark, d).edges)
+
+
+@query(GP + " SELECT src, dst, w FROM e WHERE src <> dst")
+def remove_self_loops(spark, d):
+    g = gp(spark, d)
+    return build.remove_self_loops(build.add_self_loops(g))
+
+
+@query(GP + " SELECT src, dst, w FROM e UNION ALL SELECT id, id, 1.0 FROM v")
+def add_self_loops(spark, d):
+    return build.add_self_loops(gp(spark, d))
+
+
+@query(GP + " SELECT src AS row, dst AS col, w AS val FROM e")
+def zero_diag(spark, d):
+    return build.zero_diag(build.weights_matrix(Graph(gp(spark, d).nodes, build.add_self_loops(gp(spark, d)))))
+
+
+@query(GP + " SELECT src // 10 AS row, dst // 10 AS col, sum(w) AS val FROM e GROUP BY 1, 2")
+def edge_coalesce(spark, d):
+    return build.coalesce_entries(gp(spark, d).edges.select(F.floor(F.col("src") / 10).alias("row"), F.floor(F.col("dst") / 10).alias("col"), F.col("w").alias("val")))
+
+
+@query(GP + " SELECT id AS row, id AS col, 1.0::DOUBLE AS val FROM v")
+def sparse_identity(spark, d):
+    return build.identity(gp(spark, d).nodes)
+
+
+@query(GP + " SELECT id, deg FROM dd")
+def degree_doubled(spark, d):
+    return build.degree(gp(spark, d))
+
+
+@query(GP + " SELECT id, deg / 2 AS deg FROM dd")
+def degree_row(spark, d):
+    return build.degree(gp(spark, d), "row")
+
+
+LAP = "lap AS (SELECT src AS row, dst AS col, -w AS val FROM e UNION ALL SELECT id, id, deg / 2 FROM dd)"
+
+
+@query(GP + f", {LAP} SELECT row, col, val FROM lap")
+def laplacian_coo(spark, d):
+    return build.laplacian(gp(spark, d))
+
+
+@query(GP + " SELECT id AS row, 0.0::DOUBLE AS total FROM v")
+def laplacian_row_sums(spark, d):
+    return build.laplacian(gp(spark, d)).groupBy("row").agg((F.sum("val") + F.lit(0.0)).alias("total"))
+
+
+@query(GE + " SELECT b.src AS id FROM e b WHERE b.dst = (SELECT max(src) FROM e)")
+def neighbours_of_node(spark, d):
+    g = ge(spark, d)
+    last = g.edges.agg(F.max("src").alias("last"))
+    return g.edges.join(F.broadcast(last), F.col("src") == F.col("last")).select(F.col("dst").alias("id"))
+
+
+@query(GP + ", o AS (SELECT i, j, w, row_number() OVER (ORDER BY i, j) - 1 AS edge FROM und) SELECT i AS node, edge, round(sqrt(w), 6) AS val FROM o UNION ALL SELECT j, edge, round(-sqrt(w), 6) FROM o")
+def gradient_matrix(spark, d):
+    return build.gradient_matrix(gp(spark, d)).select("node", "edge", r6("val").alias("val"))
+
+
+@query(GP + ", g AS (SELECT src, dst, w FROM e WHERE NOT (src % 7 = 0 AND src < dst)) SELECT count(*) AS entries, sum(CASE WHEN dst % 7 = 0 AND dst < src OR src % 7 = 0 AND src < dst THEN 1 ELSE 0 END)::BIGINT AS unpaired, max(CASE WHEN dst % 7 = 0 AND dst < src THEN w ELSE 0 END) AS greatest_gap FROM g")
+def symmetry_check(spark, d):
+    return build.symmetry(build.weights_matrix(gp(spark, d)).where("NOT (row % 7 = 0 AND row < col)"))
+
+
+@query(GE + ", c AS (SELECT unnest(range(10)) AS k) SELECT id, k, CASE WHEN y = k THEN 1.0 ELSE 0.0 END::DOUBLE AS val FROM v, c")
+def one_hot_labels(spark, d):
+    return long_form(build.one_hot(ge(spark, d).nodes, 10), "soft")
+
+
+@query(GE + SPLIT + " SELECT id, split FROM sp")
+def train_val_test_split(spark, d):
+    return build.split(ge(spark, d).nodes)
+
+
+@query(GE + SPLIT + " SELECT id AS row, row_number() OVER (ORDER BY id) - 1 AS col, 1.0::DOUBLE AS val FROM sp WHERE split = 'train'")
+def selection_matrix(spark, d):
+    return build.selection_matrix(build.split(ge(spark, d).nodes), "train")
+
+
+# --- linear algebra -------------------------------------------------------------------------------
+
+XK = ", xk AS (SELECT id, k, x[k + 1] AS val FROM v, (SELECT unnest(range(64)) AS k))"
+
+
+@query(GE + XK + " SELECT e.src AS id, k, round(sum(w * val), 6) + 0.0 AS val FROM e JOIN xk ON e.dst = xk.id GROUP BY 1, 2")
+def spmm_features(spark, d):
+    g = ge(spark, d)
+    return long_form(linalg.spmm(build.weights_matrix(g), g.nodes, 64))
+
+
+@query(GP + ", a AS (SELECT src, dst, w FROM e WHERE src % 5 = 0) SELECT a.src AS row, b.dst AS col, sum(a.w * b.w) AS val FROM a JOIN e b ON a.dst = b.src GROUP BY 1, 2")
+def spmm_sparse(spark, d):
+    m = build.weights_matrix(gp(spark, d))
+    return linalg.spgemm(m.where("row % 5 = 0"), m)
+
+
+@query(GE + XK + " SELECT xk.id, k, round(any_value(val) * any_value(deg) / 2 - coalesce(sum(w * o), 0), 6) + 0.0 AS val FROM xk JOIN dd USING (id) LEFT JOIN (SELECT src, w, xk.k AS k2, xk.val AS o FROM e JOIN xk ON e.dst = xk.id) s ON s.src = xk.id AND s.k2 = xk.k GROUP BY 1, 2")
+def laplacian_spmm(spark, d):
+    g = ge(spark, d)
+    return long_form(linalg.laplacian_spmm(g, g.nodes, 64))
+
+
+@query(GE + XK + " SELECT a.k, round(sum(w * (a.val - b.val) ** 2) / 2, 6) AS val FROM e JOIN xk a ON e.src = a.id JOIN xk b ON e.dst = b.id AND a.k = b.k GROUP BY 1")
+def quadratic_form(spark, d):
+    g = ge(spark, d)
+    return linalg.quadratic_form(g, g.nodes, 64).select(F.col("k").cast("long").alias("k"), r6("val").alias("val"))
+
+
+# --- families, cost, selection ----------------------------------------------------------------------
+
+MEM = """, mem AS (SELECT DISTINCT src AS cand_id, dst AS m FROM e UNION SELECT id, id FROM v)"""
+AB = ", ab AS (SELECT id, " + ", ".join(f"{rnd('id', k)} AS a{k}" for k in range(3)) + " FROM v)"
+PAIRS = [(a, b) for a in range(3) for b in range(a, 3)]
+COST = MEM + AB + """, nc AS (SELECT cand_id, count(*) AS nc, avg(a0) AS m0, avg(a1) AS m1, avg(a2) AS m2 FROM mem JOIN ab ON mem.m = ab.id GROUP BY 1),
+p AS (SELECT mem.cand_id, mem.m, a0 - m0 AS p0, a1 - m1 AS p1, a2 - m2 AS p2, dd.deg FROM mem JOIN ab ON mem.m = ab.id JOIN nc USING (cand_id) JOIN dd ON dd.id = mem.m),
+inn AS (SELECT x.cand_id, e.src, e.dst, e.w FROM mem x JOIN e ON e.src = x.m JOIN mem y ON y.cand_id = x.cand_id AND y.m = e.dst),
+di AS (SELECT cand_id, src, sum(w) AS d FROM inn GROUP BY 1, 2),
+q AS (SELECT p.cand_id, """ + ", ".join(f"sum((2 * deg - coalesce(d, 0)) * p{a} * p{b}) AS q{a}{b}" for a, b in PAIRS) + """ FROM p LEFT JOIN di ON di.cand_id = p.cand_id AND di.src = p.m GROUP BY 1
+ UNION ALL SELECT inn.cand_id, """ + ", ".join(f"-sum(w * i.p{a} * j.p{b})" for a, b in PAIRS) + """ FROM inn JOIN p i ON i.cand_id = inn.cand_id AND i.m = inn.src JOIN p j ON j.cand_id = inn.cand_id AND j.m = inn.dst GROUP BY 1),
+qs AS (SELECT cand_id, """ + ", ".join(f"sum(q{a}{b}) AS s{a}{b}" for a, b in PAIRS) + """ FROM q GROUP BY 1),
+cost AS (SELECT cand_id, nc, CASE WHEN nc > 1 THEN sqrt(""" + " + ".join(f"{1 if a == b else 2} * s{a}{b} ** 2" for a, b in PAIRS) + """) / (nc - 1) ELSE 0 END AS cost FROM qs JOIN nc USING (cand_id))"""
+SIM = """, sim AS (SELECT a.cand_id, sum(list_dot_product(va.x, vb.x)) / count(*) AS sim FROM mem a JOIN mem b ON a.cand_id = b.cand_id AND a.m < b.m JOIN v va ON va.id = a.m JOIN v vb ON vb.id = b.m GROUP BY 1)"""
+
+
+@query(GE + MEM + " SELECT cand_id, array_to_string(list_sort(list(m)), ',') AS members FROM mem GROUP BY 1")
+def neighborhood_family(spark, d):
+    return candidates.neighbourhoods(ge(spark, d)).select("cand_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+@query(GP + " SELECT i AS a, j AS b FROM und")
+def edge_family(spark, d):
+    return candidates.edge_sets(gp(spark, d)).select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"))
+
+
+@query(GP + " SELECT x.i AS a, x.j AS b, y.j AS c FROM und x JOIN und y ON x.i = y.i AND x.j < y.j JOIN und z ON z.i = x.j AND z.j = y.j")
+def triangle_family(spark, d):
+    return candidates.triangles(gp(spark, d)).select(*[F.col("members")[k].alias(n) for k, n in enumerate("abc")])
+
+
+@query(GE + """, r AS MATERIALIZED (SELECT src, dst FROM e),
+k2 AS (SELECT [i, j] AS m FROM und),
+k3 AS (SELECT [x.i, x.j, y.j] AS m FROM und x JOIN und y ON x.i = y.i AND x.j < y.j JOIN und z ON z.i = x.j AND z.j = y.j),
+k4 AS (SELECT list_append(k3.m, a.j) AS m FROM k3 JOIN und a ON a.i = k3.m[3] JOIN und b ON b.i = k3.m[2] AND b.j = a.j JOIN und c ON c.i = k3.m[1] AND c.j = a.j),
+k5 AS (SELECT list_append(k4.m, a.j) AS m FROM k4 JOIN und a ON a.i = k4.m[4] JOIN und b ON b.i = k4.m[3] AND b.j = a.j JOIN und c ON c.i = k4.m[2] AND c.j = a.j JOIN und f ON f.i = k4.m[1] AND f.j = a.j),
+k AS (SELECT m FROM k2 UNION ALL SELECT m FROM k3 UNION ALL SELECT m FROM k4 UNION ALL SELECT m FROM k5),
+u AS (SELECT m, unnest(m) AS o FROM k),
+n AS (SELECT u.m, r.dst FROM u JOIN r ON r.src = u.o GROUP BY 1, 2 HAVING count(*) = any_value(len(u.m)))
+SELECT array_to_string(m, ',') AS members FROM k WHERE m NOT IN (SELECT m FROM n)""")
+def clique_family(spark, d):
+    return candidates.cliques(ge(spark, d)).select(F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+@query(GE + MEM + " SELECT x.cand_id, e.src, e.dst, e.w FROM mem x JOIN e ON e.src = x.m JOIN mem y ON y.cand_id = x.cand_id AND y.m = e.dst")
+def candidate_subgraph(spark, d):
+    g = ge(spark, d)
+    return candidates.subgraphs(candidates.neighbourhoods(g), g)
+
+
+@query(GE + COST + " SELECT cand_id, nc::BIGINT AS nc, round(cost, 6) + 0.0 AS cost FROM cost")
+def candidate_cost(spark, d):
+    g = ge(spark, d)
+    return candidates.costs(candidates.neighbourhoods(g), g, basis3(g.nodes), 3).select("cand_id", F.col("nc").cast("long").alias("nc"), r6("cost").alias("cost"))
+
+
+@query(GE + MEM + SIM + " SELECT v.id AS cand_id, round(coalesce(sim, 1.0), 6) + 0.0 AS sim FROM v LEFT JOIN sim ON sim.cand_id = v.id")
+def candidate_similarity(spark, d):
+    g = ge(spark, d)
+    return candidates.similarities(candidates.neighbourhoods(g), g.nodes, 64).select("cand_id", r6("sim").alias("sim"))
+
+
+GREEDY = """WITH RECURSIVE """ + (GE + COST + SIM).removeprefix("WITH ") + """, bud AS (SELECT floor({r} * count(*))::BIGINT AS b FROM v),
+rk AS (SELECT cand_id, members, nc, row_number() OVER (ORDER BY round(cost, 9), cand_id) AS r FROM
+ (SELECT c.cand_id, any_value(c.cost) AS cost, any_value(c.nc) AS nc, list_sort(list(mem.m)) AS members FROM cost c JOIN sim s USING (cand_id) JOIN mem USING (cand_id), bud WHERE c.nc > 1 AND s.sim > {t} AND c.nc - 1 <= b GROUP BY 1)),
+go AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS marked, []::BIGINT[] AS acc, b AS left_over FROM bud
+ UNION ALL SELECT nr, CASE WHEN ok THEN list_concat(marked, members) ELSE marked END, CASE WHEN ok THEN list_append(acc, cand_id) ELSE acc END, CASE WHEN ok THEN left_over - nc + 1 ELSE left_over END
+ FROM (SELECT go.marked, go.acc, go.left_over, rk.r AS nr, rk.members, rk.cand_id, rk.nc, (left_over > 0 AND rk.nc - 1 <= left_over AND NOT list_has_any(marked, rk.members)) AS ok FROM go JOIN rk ON rk.r = go.r + 1)),
+acc AS (SELECT unnest(acc) AS cand_id FROM (SELECT acc FROM go ORDER BY r DESC LIMIT 1)),
+ass0 AS (SELECT v.id, coalesce(s.rep, v.id) AS rep, coalesce(s.nc, 1) AS nc FROM v LEFT JOIN (SELECT unnest(members) AS id, members[1] AS rep, nc FROM rk JOIN acc USING (cand_id)) s ON s.id = v.id),
+asg AS (SELECT id AS fine_id, dense_rank() OVER (ORDER BY rep) - 1 AS coarse_id, 1 / sqrt(nc) AS wt FROM ass0)"""
+
+
+def chosen(spark, d, r: float, threshold: float):
+    g = ge(spark, d)
+    cands = candidates.neighbourhoods(g)
+    n = g.nodes.count()
+    return g, candidates.greedy(cands, candidates.costs(cands, g, basis3(g.nodes), 3), candidates.similarities(cands, g.nodes, 64), int(r * n), threshold)
+
+
+@query(GREEDY.format(r=0.1, t=0.25) + " SELECT cand_id, array_to_string(members, ',') AS members FROM rk JOIN acc USING (cand_id)")
+def greedy_select(spark, d):
+    return chosen(spark, d, 0.1, 0.25)[1].select("cand_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+@query(GREEDY.format(r=0.9, t=0.2) + " SELECT cand_id, array_to_string(members, ',') AS members FROM rk JOIN acc USING (cand_id)")
+def greedy_select_without_budget(spark, d):
+    return chosen(spark, d, 0.9, 0.2)[1].select("cand_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+@query(GREEDY.format(r=0.5, t=0.25) + " SELECT fine_id, coarse_id, round(wt, 6) AS wt FROM asg")
+def coarsening_assignment(spark, d):
+    g, sets = chosen(spark, d, 0.5, 0.25)
+    return algebra.assignment(sets, g.nodes).select("fine_id", "coarse_id", r6("wt").alias("wt"))
+
+
+@query(GREEDY.format(r=0.5, t=0.25) + " SELECT coarse_id AS row, fine_id AS col, round(wt, 6) AS val FROM asg")
+def coarsening_matrix(spark, d):
+    g, sets = chosen(spark, d, 0.5, 0.25)
+    return algebra.as_matrix(algebra.assignment(sets, g.nodes)).select("row", "col", r6("val").alias("val"))
+
+
+# --- coarsening algebra -----------------------------------------------------------------------------
+
+
+@query(GP + BLOCKS + " SELECT a.coarse_id AS row, b.coarse_id AS col, sum(w) AS val FROM e JOIN asg a ON e.src = a.fine_id JOIN asg b ON e.dst = b.fine_id GROUP BY 1, 2")
+def coarsen_weights(spark, d):
+    g = gp(spark, d)
+    return algebra.coarsen_matrix(g.edges, blocks(g.nodes))
+
+
+@query(GP + BLOCKS + " SELECT a.coarse_id AS src, b.coarse_id AS dst, sum(w) AS w FROM e JOIN asg a ON e.src = a.fine_id JOIN asg b ON e.dst = b.fine_id WHERE a.coarse_id <> b.coarse_id GROUP BY 1, 2")
+def construct_graph_edges(spark, d):
+    g = gp(spark, d)
+    return algebra.coarsen_edges(g.edges, blocks(g.nodes))
+
+
+@query(GE + BLOCKS + XK + " SELECT coarse_id AS id, k, round(sum(wt * val), 6) + 0.0 AS val FROM asg JOIN xk ON xk.id = fine_id GROUP BY 1, 2")
+def coarsen_features(spark, d):
+    g = ge(spark, d)
+    return long_form(algebra.coarsen_dense(g.nodes, blocks(g.nodes), 64))
+
+
+POS = ", pos AS (SELECT id, 0 AS k, " + rnd("id", 1, 5) + " AS val FROM v UNION ALL SELECT id, 1, " + rnd("id", 2, 9) + " FROM v)"
+
+
+@query(GE + BLOCKS + POS + " SELECT coarse_id AS id, k::BIGINT AS k, round(avg(val), 6) + 0.0 AS val FROM asg JOIN pos ON pos.id = fine_id GROUP BY 1, 2")
+def coarsen_positions(spark, d):
+    g = ge(spark, d)
+    return long_form(algebra.coarsen_vector(frames.circular_layout(g.nodes), blocks(g.nodes), 2, "pos"), "pos")
+
+
+@query(GE + BLOCKS + XK + ", c AS (SELECT coarse_id AS id, k, sum(wt * val) AS val FROM asg JOIN xk ON xk.id = fine_id GROUP BY 1, 2) SELECT id, k, round(val / sqrt(sum(val * val) OVER (PARTITION BY id)), 6) + 0.0 AS val FROM c")
+def coarsen_embeddings(spark, d):
+    g = ge(spark, d)
+    return long_form(algebra.coarsen_embeddings(g.nodes.select("id", F.col("x").alias("emb")), blocks(g.nodes), 64), "emb")
+
+
+@query(GE + BLOCKS + " SELECT fine_id AS id, round(" + rnd("coarse_id", 0) + ", 6) + 0.0 AS val FROM asg")
+def lift_vector(spark, d):
+    g = ge(spark, d)
+    assign = blocks(g.nodes)
+    coarse = assign.select(F.col("coarse_id").alias("id")).distinct().select("id", r6(pseudo_random(F.col("id"), 0)).alias("val"))
+    return algebra.lift_vector(coarse, assign, "val")
+
+
+@query(GP + BLOCKS + ", c AS (SELECT a.coarse_id AS row, b.coarse_id AS col, sum(w) AS val FROM e JOIN asg a ON e.src = a.fine_id JOIN asg b ON e.dst = b.fine_id GROUP BY 1, 2) SELECT x.fine_id AS row, y.fine_id AS col, round(val * x.wt ** 2 * y.wt ** 2, 6) + 0.0 AS val FROM c JOIN asg x ON x.coarse_id = c.row JOIN asg y ON y.coarse_id = c.col")
+def lift_matrix(spark, d):
+    g = gp(spark, d)
+    assign = blocks(g.nodes)
+    return algebra.lift_matrix(algebra.coarsen_matrix(g.edges, assign), assign).select("row", "col", r6("val").alias("val"))
+
+
+@query(GE + BLOCKS + " SELECT fine_id AS id, (coarse_id * 7 % 10)::BIGINT AS pred FROM asg")
+def lift_predictions(spark, d):
+    g = ge(spark, d)
+    assign = blocks(g.nodes)
+    pred = assign.select(F.col("coarse_id").alias("id"), (F.col("coarse_id") * 7 % 10).alias("pred")).distinct()
+    return algebra.lift_vector(pred, assign, "pred")
+
+
+@query(GE + BLOCKS + """, c0 AS (SELECT DISTINCT coarse_id AS id, coarse_id // 3 AS g FROM asg), c1 AS (SELECT g, min(id) AS rep, count(*) AS nc FROM c0 GROUP BY 1),
+asg2 AS (SELECT c0.id AS fine_id, dense_rank() OVER (ORDER BY rep) - 1 AS coarse_id, 1 / sqrt(nc) AS wt FROM c0 JOIN c1 USING (g))
+SELECT asg.fine_id, asg2.coarse_id, round(asg.wt * asg2.wt, 6) AS wt FROM asg JOIN asg2 ON asg2.fine_id = asg.coarse_id""")
+def compose_levels(spark, d):
+    first = blocks(ge(spark, d).nodes)
+    second = blocks(first.select(F.col("coarse_id").alias("id")).distinct())
+    return algebra.compose(first, second).select("fine_id", "coarse_id", r6("wt").alias("wt"))
+
+
+VOTE = " SELECT id, y FROM (SELECT coarse_id AS id, y::BIGINT AS y, row_number() OVER (PARTITION BY coarse_id ORDER BY round(sum(wt), 9) DESC, v.y) AS r FROM asg JOIN v ON v.id = fine_id {where} GROUP BY coarse_id, v.y) WHERE r = 1"
+
+
+@query(GE + BLOCKS + VOTE.format(where=""))
+def label_vote(spark, d):
+    g = ge(spark, d)
+    return algebra.vote(g.nodes, blocks(g.nodes)).select("id", F.col("y").cast("long").alias("y"))
+
+
+@query(GE + BLOCKS + SPLIT + VOTE.format(where="JOIN sp ON sp.id = v.id AND split = 'train'"))
+def train_label_vote(spark, d):
+    g = ge(spark, d)
+    return algebra.train_vote(g.nodes.select("id", "y"), blocks(g.nodes), build.split(g.nodes)).select("id", F.col("y").cast("long").alias("y"))
+
+
+@query(GE + BLOCKS + SPLIT + " SELECT coarse_id AS id, bool_or(split = 'train') AS is_train FROM asg JOIN sp ON sp.id = fine_id GROUP BY 1")
+def train_supernode_mask(spark, d):
+    g = ge(spark, d)
+    return algebra.train_mask(blocks(g.nodes), build.split(g.nodes))
+
+
+# --- proximities and matchings -------------------------------------------------------------------------
+
+
+def edge_values(df: DataFrame) -> DataFrame:
+    return df.select("src", "dst", r6("val").alias("val"))
+
+
+@query(GP + ", t AS (SELECT dst AS id, max(w) + 1e-5 AS top FROM e GROUP BY 1) SELECT i AS src, j AS dst, round(w / greatest(a.top, b.top), 6) AS val FROM und JOIN t a ON a.id = i JOIN t b ON b.id = j")
+def heavy_edge(spark, d):
+    return edge_values(proximity.heavy_edge(gp(spark, d)))
+
+
+@query(GP + " SELECT i AS src, j AS dst, a.deg + b.deg + 2 * w AS val FROM und JOIN dd a ON a.id = i JOIN dd b ON b.id = j")
+def heavy_edge_degree(spark, d):
+    return edge_values(proximity.heavy_edge_degree(gp(spark, d)))
+
+
+JAC = "".join(
+    f", j{t} AS (SELECT x.id, " + ", ".join(f"CASE WHEN any_value(deg) > 0 THEN any_value(x.a{k}) - (any_value(x.a{k}) * any_value(deg) / 2 - coalesce(sum(e.w * o.a{k}), 0)) / (2 * any_value(deg)) ELSE any_value(x.a{k}) END AS a{k}" for k in range(3))
+    + f" FROM {'ab' if t == 1 else f'j{t - 1}'} x JOIN dd ON dd.id = x.id LEFT JOIN e ON e.src = x.id LEFT JOIN {'ab' if t == 1 else f'j{t - 1}'} o ON o.id = e.dst GROUP BY 1)"
+    for t in range(1, 5)
+)
+
+
+@query(GE + AB + JAC + " SELECT id, k, round(val, 6) + 0.0 AS val FROM (" + " UNION ALL ".join(f"SELECT id, {k}::BIGINT AS k, a{k} AS val FROM j4" for k in range(3)) + ")")
+def jacobi_vectors(spark, d):
+    return long_form(proximity.jacobi_vectors(ge(spark, d), 3, 4))
+
+
+@query()
+def gauss_seidel_vectors(spark, d):
+    return long_form(proximity.gauss_seidel_vectors(ge(spark, d), 2))
+
+
+@query()
+def chebyshev_vectors(spark, d):
+    return long_form(proximity.chebyshev_vectors(ge(spark, d), 2, 1.0, 10))
+
+
+D2 = " + ".join(f"(a.a{k} - b.a{k}) ** 2" for k in range(3))
+ENDS = " FROM und JOIN ab a ON a.id = i JOIN ab b ON b.id = j"
+DEGS = " JOIN dd da ON da.id = i JOIN dd db ON db.id = j"
+
+
+def start3(g: Graph) -> DataFrame:
+    return basis3(g.nodes, 3, "x")
+
+
+@query(GE + AB + " SELECT i AS src, j AS dst, round(least(" + ", ".join(f"1 / greatest((a.a{k} - b.a{k}) ** 2, 1e-6)" for k in range(3)) + "), 6) AS val" + ENDS)
+def algebraic_distance(spark, d):
+    g = ge(spark, d)
+    return edge_values(proximity.algebraic(g, start3(g)))
+
+
+DOT = "(" + " + ".join("{0}.a%d * {1}.a%d" % (k, k) for k in range(3)) + ")"
+
+
+@query(GE + AB + ", c AS (SELECT src, dst, 2 * " + DOT.format("a", "b") + " ** 2 / (" + DOT.format("a", "a") + " ** 2 * " + DOT.format("b", "b") + " ** 2) AS c FROM e JOIN ab a ON a.id = src JOIN ab b ON b.id = dst), t AS (SELECT src, max(c) AS top FROM c GROUP BY 1) SELECT c.src, c.dst, round(c / (x.top * y.top), 6) + 0.0 AS val FROM c JOIN t x ON x.src = c.src JOIN t y ON y.src = c.dst WHERE c.src < c.dst")
+def affinity(spark, d):
+    g = ge(spark, d)
+    return edge_values(proximity.affinity(g, start3(g)))
+
+
+@query(GE + AB + " SELECT i AS src, j AS dst, round(-((a.a1 - b.a1) ** 2 + (a.a2 - b.a2) ** 2), 6) + 0.0 AS val" + ENDS)
+def expected_loss(spark, d):
+    g = ge(spark, d)
+    return edge_values(proximity.expected_loss(g, start3(g), 3))
+
+
+@query(GE + AB + " SELECT i AS src, j AS dst, round(-((a.a1 - b.a1) ** 2 + (a.a2 - b.a2) ** 2) * (da.deg + db.deg + 2 * w), 6) + 0.0 AS val" + ENDS + DEGS)
+def gradient_loss(spark, d):
+    g = ge(spark, d)
+    return edge_values(proximity.gradient_loss(g, start3(g), 3))
+
+
+def rss_sql(shift: int) -> str:
+    parts = " + ".join(f"(a.a{k} - b.a{k}) ** 2 * ((da.deg + db.deg + 2 * w) / 4 - {shift} * {l}) / {l}" for k, l in enumerate((0.5, 1.0, 2.0)))
+    return GE + AB + f" SELECT i AS src, j AS dst, round(-({parts}), 6) + 0.0 AS val" + ENDS + DEGS
+
+
+@query(rss_sql(0))
+def rss_given_vectors(spark, d):
+    g = ge(spark, d)
+    return edge_values(proximity.rss(g, start3(g), [0.5, 1.0, 2.0]))
+
+
+@query(rss_sql(1))
+def rss_lanczos_given_vectors(spark, d):
+    g = ge(spark, d)
+    return edge_values(proximity.rss(g, start3(g), [0.5, 1.0, 2.0], "lanczos"))
+
+
+@query(GE + AB + ", l AS (SELECT " + ", ".join(f"sum(w * (a.a{k} - b.a{k}) ** 2) AS l{k}" for k in range(3)) + ENDS + ") SELECT i AS src, j AS dst, round(-(" + " + ".join(f"(a.a{k} - b.a{k}) ** 2 * (da.deg + db.deg + 2 * w) / 4 / l{k}" for k in range(3)) + "), 6) + 0.0 AS val" + ENDS + DEGS + ", l")
+def rss_quadratic(spark, d):
+    g = ge(spark, d)
+    return edge_values(proximity.rss_chebyshev(g, start3(g), 3))
+
+
+@query(GP + " SELECT i AS src, j AS dst, 0.0::DOUBLE AS val FROM und")
+def kron_proximity(spark, d):
+    return proximity.kron(gp(spark, d))
+
+
+@query(GE + AB + f" SELECT i AS src, j AS dst, round((da.deg + db.deg) / 2 * ({D2}), 6) + 0.0 AS cost" + ENDS + DEGS)
+def variation_edge_cost(spark, d):
+    g = ge(spark, d)
+    return candidates.variation_edge_costs(g, basis3(g.nodes)).select("src", "dst", r6("cost").alias("cost"))
+
+
+MATCH = "WITH RECURSIVE " + GE.removeprefix("WITH ") + """, bud AS (SELECT ceil(0.2 * count(*))::BIGINT AS b FROM v),
+rk AS (SELECT i, j, row_number() OVER (ORDER BY a.deg + b.deg + 2 * w DESC, i, j) AS r FROM und JOIN dd a ON a.id = i JOIN dd b ON b.id = j JOIN v va ON va.id = i JOIN v vb ON vb.id = j WHERE list_dot_product(va.x, vb.x) > 0.32),
+go AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS marked, []::BIGINT[] AS acc UNION ALL
+ SELECT rk.r, CASE WHEN list_has_any(marked, [i, j]) THEN marked ELSE list_concat(marked, [i, j]) END, CASE WHEN list_has_any(marked, [i, j]) THEN acc ELSE list_append(acc, rk.r) END FROM go JOIN rk ON rk.r = go.r + 1),
+t AS (SELECT unnest(acc) AS r FROM (SELECT acc FROM go ORDER BY r DESC LIMIT 1)) SELECT i, j FROM rk JOIN t USING (r), bud QUALIFY row_number() OVER (ORDER BY r) <= b"""
+
+
+@query(MATCH)
+def matching_greedy(spark, d):
+    g = ge(spark, d)
+    similar = multilevel._similar_edges(g, "x")
+    return proximity.matching_greedy(proximity.heavy_edge_degree(g), int(np.ceil(0.2 * g.nodes.count())), similar, 0.32)
+
+
+@query(GP + " SELECT src, dst, val FROM (SELECT i AS src, j AS dst, a.deg + b.deg + 2 * w AS val FROM und JOIN dd a ON a.id = i JOIN dd b ON b.id = j) ORDER BY val, src, dst LIMIT 100")
+def matching_topk(spark, d):
+    return proximity.heaviest(proximity.heavy_edge_degree(gp(spark, d)), 100)
+
+
+@query()
+def matching_optimal(spark, d):
+    g = ge(spark, d)
+    n = g.nodes.count()
+    return proximity.matching_optimal(candidates.variation_edge_costs(g, basis3(g.nodes)).withColumnRenamed("cost", "val"), int(np.ceil(0.3 * n)))
+
+
+# --- spectral and multilevel -----------------------------------------------------------------------------
+
+
+@query()
+def spectral_basis(spark, d):
+    return spectral.basis(ge(spark, d), 40).select("id", F.size("b").alias("k"), r6(F.aggregate("b", F.lit(0.0), lambda s, v: s + v * v)).alias("squared_length"))
+
+
+@query()
+def spectrum(spark, d):
+    g = ge(spark, d)
+    _, values = spectral.smallest_eigenpairs(g, 50)
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(values)], "k int, value double")
+
+
+@query()
+def coarsen_multilevel(spark, d):
+    return multilevel.coarsen(gp(spark, d), 8, 0.3, 2, threshold=0.2, sizes={"x": 2}).counts()
+
+
+@query()
+def coarsen_by_heavy_edges(spark, d):
+    return multilevel.apply_graph_coarsening(ge(spark, d), "heavy_edge", 0.3, 5, 0.3, 2, {"x": 64}).counts()
+
+
+@query()
+def coarsen_by_variation_edges(spark, d):
+    return multilevel.coarsen(ge(spark, d), 30, 0.3, 1, "variation_edges", "optimal").counts()
+
+
+# --- learning ----------------------------------------------------------------------------------------------
+
+W1 = np.array([[((i * 3 + j) * 37 % 19 - 9) / 10 for j in range(3)] for i in range(4)])
+W2 = np.array([[((i * 3 + j) * 53 % 23 - 11) / 10 for j in range(3)] for i in range(4)])
+V1 = np.array([[((i * 5 + j) * 29 % 17 - 8) / 10 for j in range(4)] for i in range(3)])
+V2 = np.array([[((i * 5 + j) * 41 % 13 - 6) / 10 for j in range(4)] for i in range(3)])
+
+
+def product(x: str, w: np.ndarray, j: int) -> str:
+    return " + ".join(f"{x.format(i)} * ({w[i, j]})" for i in range(w.shape[0]))
+
+
+H1 = ", h AS (SELECT v.id, " + ", ".join(f"greatest(0.0, {product('coalesce(n.a{0}, 0)', W1, j)} + {product('v.x[1 + {0}]', W2, j)}) AS h{j}" for j in range(3)) + " FROM v LEFT JOIN (SELECT src, " + ", ".join(f"sum(w * o.x[{i + 1}]) / count(*) AS a{i}" for i in range(4)) + " FROM e JOIN v o ON o.id = e.dst GROUP BY 1) n ON n.src = v.id)"
+Z = H1 + ", z AS (SELECT h.id, " + ", ".join(f"{product('coalesce(n.a{0}, 0)', V1, j)} + {product('h.h{0}', V2, j)} AS z{j}" for j in range(4)) + " FROM h LEFT JOIN (SELECT src, " + ", ".join(f"sum(w * o.h{i}) / count(*) AS a{i}" for i in range(3)) + " FROM e JOIN h o ON o.id = e.dst GROUP BY 1) n ON n.src = h.id), lp AS (SELECT id, " + ", ".join(f"z{j} - ln(exp(z0) + exp(z1) + exp(z2) + exp(z3)) AS p{j}" for j in range(4)) + " FROM z), y4 AS (SELECT id, y % 4 AS y FROM v)"
+PRED = Z + ", pr AS (SELECT id, CASE WHEN p0 >= p1 AND p0 >= p2 AND p0 >= p3 THEN 0 WHEN p1 >= p2 AND p1 >= p3 THEN 1 WHEN p2 >= p3 THEN 2 ELSE 3 END AS pred FROM lp)"
+
+
+def fixed_model() -> sage.Sage:
+    return sage.Sage({"l1": W1, "r1": W2, "b1": np.zeros(3), "l2": V1, "r2": V2, "b2": np.zeros(4)})
+
+
+def ge4(spark, d) -> Graph:
+    g = ge(spark, d)
+    return Graph(g.nodes.select("id", F.slice("x", 1, 4).alias("x"), (F.col("y") % 4).alias("y")), g.edges)
+
+
+def wide(table: str, names: str, n: int) -> str:
+    return f" SELECT id, k, round(val, 6) + 0.0 AS val FROM ({' UNION ALL '.join(f'SELECT id, {k}::BIGINT AS k, {names}{k} AS val FROM {table}' for k in range(n))})"
+
+
+@query(GE + H1 + wide("h", "h", 3))
+def sage_layer(spark, d):
+    return long_form(fixed_model().hidden(ge4(spark, d)), "h")
+
+
+@query(GE + H1 + ", s AS (SELECT id, " + ", ".join(f"h{k} / greatest(sqrt(h0 * h0 + h1 * h1 + h2 * h2), 1e-12) AS h{k}" for k in range(3)) + " FROM h)" + wide("s", "h", 3))
+def sage_embeddings(spark, d):
+    return long_form(fixed_model().embeddings(ge4(spark, d)), "emb")
+
+
+@query(GE + Z + wide("lp", "p", 4))
+def sage_forward(spark, d):
+    return long_form(fixed_model().forward(ge4(spark, d)), "logp")
+
+
+@query(GE + " SELECT id, k, round(x[k + 1] - ln(list_sum(list_transform(x, lambda t: exp(t)))), 6) + 0.0 AS val FROM v, (SELECT unnest(range(64)) AS k)")
+def log_softmax_rows(spark, d):
+    return long_form(ge(spark, d).nodes.select("id", log_softmax(F.col("x")).alias("x")))
+
+
+@query(GE + " SELECT id, k, round(x[k + 1] / sqrt(list_dot_product(x, x)), 6) + 0.0 AS val FROM v, (SELECT unnest(range(64)) AS k)")
+def normalised_rows(spark, d):
+    return long_form(ge(spark, d).nodes.select("id", normalised(F.col("x")).alias("x")))
+
+
+@query(GE + PRED + " SELECT id, pred::BIGINT AS pred FROM pr")
+def argmax_class(spark, d):
+    return sage.predictions(fixed_model().forward(ge4(spark, d))).select("id", F.col("pred").cast("long").alias("pred"))
+
+
+@query(GE + PRED + " SELECT count(*) AS n, round(avg((pred = y)::INT), 6) AS accuracy FROM pr JOIN y4 USING (id)")
+def accuracy(spark, d):
+    g = ge4(spark, d)
+    return sage.accuracy(sage.predictions(fixed_model().forward(g)), g.nodes).select("n", r6("accuracy").alias("accuracy"))
+
+
+@query(GE + PRED + """, b AS (SELECT y, pred FROM pr JOIN y4 USING (id)), s AS (SELECT c AS y, (SELECT count(*) FROM b WHERE y = c) AS support, (SELECT count(*) FROM b WHERE pred = c) AS predicted, (SELECT count(*) FROM b WHERE y = c AND pred = c) AS hits FROM (SELECT unnest(range(4)) AS c))
+SELECT y, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, support FROM (SELECT y, support, CASE WHEN predicted > 0 THEN hits / predicted ELSE 0 END AS p, CASE WHEN support > 0 THEN hits / support ELSE 0 END AS r, predicted FROM s WHERE support + predicted > 0)""")
+def class_report(spark, d):
+    g = ge4(spark, d)
+    return sage.class_report(sage.predictions(fixed_model().forward(g)), g.nodes).select(F.col("y").cast("long").alias("y"), *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+NLL = "SELECT avg(-CASE y WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END) AS nll FROM lp JOIN y4 USING (id)"
+
+
+@query(GE + Z + f" SELECT round(nll, 6) AS loss FROM ({NLL})")
+def nll_loss(spark, d):
+    g = ge4(spark, d)
+    return sage.nll(fixed_model().forward(g), g.nodes).select(r6("loss").alias("loss"))
+
+
+@query(GE + Z + f""", nn AS ({NLL}), n AS (SELECT count(*) AS n FROM v), t AS (SELECT unnest(range(greatest(floor(0.1 * n)::BIGINT, 500))) AS t, n FROM n),
+pp AS (SELECT (t * 7919 + 104729 + 13) % n AS a, (t * t * 31 + t * 15485863 + 7) % n AS b FROM t),
+c AS (SELECT avg(list_dot_product(x, x)) AS closeness FROM v), s AS (SELECT avg(list_dot_product(x.x, y.x)) AS separation FROM pp JOIN v x ON x.id = a JOIN v y ON y.id = b)
+SELECT round(nll, 6) AS nll, round(closeness, 6) AS closeness, round(separation, 6) + 0.0 AS separation, round(nll + separation - closeness, 6) AS loss FROM nn, c, s""")
+def coarsening_loss(spark, d):
+    g = ge4(spark, d)
+    emb = ge(spark, d).nodes.select("id", F.col("x").alias("emb"))
+    n = emb.count()
+    loss = sage.coarsening_loss(fixed_model().forward(g), g.nodes, emb, sage.random_pairs(n, sage.pair_count(n), spark))
+    return loss.select(*[r6(c).alias(c) for c in ("nll", "closeness", "separation", "loss")])
+
+
+@query()
+def train_sweep(spark, d):
+    return training.sweep(ge(spark, d), 64, 10, epochs=(1,), thresholds=(0.5, 0.75), levels=1, k=5, hidden=8)
+
+
+# --- statistics and frames -----------------------------------------------------------------------------------
+
+
+@query(GP + " SELECT n, m, round(2 * m / (n * (n - 1)), 9) AS density FROM (SELECT count(*) AS n FROM v), (SELECT count(*) AS m FROM und)")
+def edge_density(spark, d):
+    return frames.edge_density(gp(spark, d)).select("n", "m", F.round("density", 9).alias("density"))
+
+
+@query(GP + " SELECT round(avg(deg / 2), 6) AS mean_degree, max(deg / 2) AS max_degree FROM dd")
+def degree_statistics(spark, d):
+    return frames.degree_statistics(gp(spark, d)).select(r6("mean_degree").alias("mean_degree"), "max_degree")
+
+
+@query(GP + ", s AS (SELECT min(deg / 2) AS lo, (max(deg / 2) - min(deg / 2)) / 30 AS width, count(*) AS n FROM dd) SELECT least(floor((deg / 2 - lo) / width), 29)::BIGINT AS bin, count(*) AS n, round(count(*) / (any_value(s.n) * any_value(width)), 6) AS density FROM dd, s GROUP BY 1")
+def degree_histogram(spark, d):
+    return frames.degree_histogram(gp(spark, d)).select(F.col("bin").cast("long").alias("bin"), "n", r6("density").alias("density"))
+
+
+@query(GP + BLOCKS + """, f AS (SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM und) AS edges, (SELECT count(DISTINCT coarse_id) FROM asg) AS coarse_nodes,
+(SELECT count(*) FROM (SELECT DISTINCT a.coarse_id, b.coarse_id FROM e JOIN asg a ON e.src = a.fine_id JOIN asg b ON e.dst = b.fine_id WHERE a.coarse_id < b.coarse_id)) AS coarse_edges)
+SELECT *, round(nodes / coarse_nodes, 6) AS size_ratio, round(1 - coarse_nodes / nodes, 6) AS node_reduction, round(1 - coarse_edges / edges, 6) AS edge_reduction FROM f""")
+def reduction_stats(spark, d):
+    g = gp(spark, d)
+    out = frames.reduction(g, algebra.construct(g, blocks(g.nodes), {}))
+    return out.select("nodes", "edges", "coarse_nodes", "coarse_edges", *[r6(c).alias(c) for c in ("size_ratio", "node_reduction", "edge_reduction")])
+
+
+@query(GE + BLOCKS + " SELECT coarse_id, array_to_string(list_sort(list(fine_id)), ',') AS members, count(*) AS nc, least(count(*) - 1, 7)::BIGINT AS color, 20.0::DOUBLE * count(*) AS size FROM asg GROUP BY 1")
+def group_sizes(spark, d):
+    return frames.groups(blocks(ge(spark, d).nodes)).select("coarse_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), F.col("nc").cast("long").alias("nc"), F.col("color").cast("long").alias("color"), "size")
+
+
+@query(GE + BLOCKS + " SELECT coarse_id, nc, round(CASE WHEN nc > 1 THEN 20 * least(1.5 + 0.1 * nc, 3) ELSE 20 END, 6)::DOUBLE AS size, coarse_id % 8 AS color FROM (SELECT coarse_id, count(*) AS nc FROM asg GROUP BY 1)")
+def node_styles(spark, d):
+    return frames.node_styles(blocks(ge(spark, d).nodes)).select("coarse_id", F.col("nc").cast("long").alias("nc"), r6("size").alias("size"), F.col("color").cast("long").alias("color"))
+
+
+@query(GP + " SELECT id FROM v ORDER BY md5(id || ':1'), id LIMIT 1000")
+def node_sample(spark, d):
+    return frames.node_sample(gp(spark, d).nodes)
+
+
+@query(GP + ", s AS (SELECT id FROM v ORDER BY md5(id || ':1'), id LIMIT 1000) SELECT i AS src, j AS dst, w FROM und WHERE i IN (SELECT id FROM s) AND j IN (SELECT id FROM s)")
+def visible_edges(spark, d):
+    g = gp(spark, d)
+    return frames.visible_edges(g, frames.node_sample(g.nodes))
+
+
+@query(GP + ", o AS (SELECT i, j, w, row_number() OVER (ORDER BY i, j) - 1 AS place, count(*) OVER () AS n FROM und) SELECT i AS src, j AS dst, w FROM o WHERE place % greatest(1, n // 2000) = 0")
+def edge_stride_sample(spark, d):
+    return frames.strided_edges(gp(spark, d).edges.where("src < dst"))
+
+
+@query(GE + POS + " SELECT k::BIGINT AS axis, round(min(val) - 0.1 * (max(val) - min(val)), 6) AS low, round(max(val) + 0.1 * (max(val) - min(val)), 6) AS high FROM pos GROUP BY 1")
+def axis_limits(spark, d):
+    return frames.axis_limits(frames.circular_layout(ge(spark, d).nodes)).select(F.col("axis").cast("long").alias("axis"), r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query(GE + BLOCKS + POS + """, c0 AS (SELECT DISTINCT coarse_id AS id, coarse_id // 3 AS g FROM asg), c1 AS (SELECT g, min(id) AS rep, count(*) AS nc FROM c0 GROUP BY 1),
+asg2 AS (SELECT c0.id AS fine_id, dense_rank() OVER (ORDER BY rep) - 1 AS coarse_id, 1 / sqrt(nc) AS wt FROM c0 JOIN c1 USING (g)),
+p1 AS (SELECT coarse_id AS id, k, avg(val) AS val FROM asg JOIN pos ON pos.id = fine_id GROUP BY 1, 2), p2 AS (SELECT coarse_id AS id, k, avg(val) AS val FROM asg2 JOIN p1 ON p1.id = fine_id GROUP BY 1, 2)
+SELECT level, id, k::BIGINT AS k, round(val, 6) + 0.0 AS val FROM (SELECT 0::BIGINT AS level, id, k, val FROM pos UNION ALL SELECT 1, id, k, val FROM p1 UNION ALL SELECT 2, id, k, val FROM p2)""")
+def level_positions(spark, d):
+    g = ge(spark, d)
+    first = blocks(g.nodes)
+    second = blocks(first.select(F.col("coarse_id").alias("id")).distinct())
+    at = frames.level_positions(frames.circular_layout(g.nodes), [first, second])
+    return at.select(F.col("level").cast("long").alias("level"), "id", F.posexplode("pos").alias("k", "val")).select("level", "id", F.col("k").cast("long").alias("k"), r6("val").alias("val"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
