@@ -205,7 +205,7 @@ class TextEncoder:
     of its pieces' values. A full dictionary takes nothing more; what it lacks is worked out for each batch.
     """
 
-    def __init__(self, pattern: str, solve: Callable[[list[bytes]], list], value: Callable[[list], object], special: Iterable[str] = (), cache: int = 400_000):
+    def __init__(self, pattern: str, solve: Callable[[list[bytes]], list], value: Callable[[list], object], special: Iterable[str] = (), cache: int = 120_000):
         self.find = regex.compile(pattern).findall
         self.blank = regex.compile(r"\s").match
         self.cut = regex.compile(r" (?=\S)").split
@@ -231,7 +231,7 @@ class TextEncoder:
         if missing:
             fresh = dict(zip(missing, self.solve([p.encode("utf-8") for p in missing])))
             values = [fresh[p] if v is None else v for p, v in zip(flat, values)]
-            if len(known) < self.limit // 3:
+            if len(known) < self.limit // 2:
                 known.update(fresh)
         out, start, value = [], 0, self.value
         for end in ends:

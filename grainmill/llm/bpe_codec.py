@@ -23,7 +23,7 @@ class Codec:
     def __init__(self, table: bpe.MergeTable, pattern: str):
         self.table = table
         self.encoder = bpe.TextEncoder(pattern, table.merge_pieces, b"".join)
-        self.digests = bpe.TextEncoder(pattern, self._spelled, self._joined, cache=250_000)
+        self.digests = bpe.TextEncoder(pattern, self._spelled, self._joined)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(v), dtype="<u4") for v in self.encoder.encode_all(texts)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import stored
+from grainmill.llm.common import lean, stored
 from grainmill.llm.shingles import mix
 
 REACH, LONGEST = 24, 512
@@ -123,7 +123,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(at)), pa.array(rev, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32()), pa.array(d1), pa.array(d2)], names=["id", "rev", "start", "end", "words", "d1", "d2"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, f"id {kind}, rev long, start int, end int, words int, d1 long, d2 long")
+    return docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(lean(run), f"id {kind}, rev long, start int, end int, words int, d1 long, d2 long")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,4 +162,4 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lean(run), docs.schema)

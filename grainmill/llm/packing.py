@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm import bpe
+from grainmill.llm.common import lean
 
 
 class BestFit:
@@ -99,7 +100,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2
                 yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[id_col, "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, size: int = 1024, open_bins: int = 512, id_col: str = "doc_id") -> DataFrame:
