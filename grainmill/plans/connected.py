@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.plans.stored import stored
+from grainmill.plans.stored import discard, stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -40,6 +40,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while state[0]:
         new = stored(_small_star(_large_star(now)))
         new_state = _state(new)
+        discard(now)
         now = new
         if new_state == state:
             break

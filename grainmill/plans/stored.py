@@ -21,9 +21,11 @@ def stored(df: DataFrame) -> DataFrame:
         folder = "file://" + tempfile.mkdtemp(prefix="grainmill-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/grainmill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _PATHS[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
 
 
 def stored_edges(graph: Graph) -> Graph:
@@ -31,11 +33,22 @@ def stored_edges(graph: Graph) -> Graph:
     return graph.with_edges(stored(graph.edges))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended before the interpreter
+        pass
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for ``df``, which can't be read any more."""
+    path = getattr(df, "_stored_path", None)
+    if path and _PATHS.pop(path, None):
+        _delete(df.sparkSession, path)
+
+
 @atexit.register
 def _clean() -> None:
     for path, spark in _PATHS.items():
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended before the interpreter
-            pass
+        _delete(spark, path)
