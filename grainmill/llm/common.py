@@ -1,11 +1,8 @@
-"""Helpers shared by the training-data operators: table paths, written intermediates, label joins."""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.plans.shipping import ship
+from grainmill.plans.stored import discard, stored
 
-_OWN_DIRS: dict[str, SparkSession] = {}
+__all__ = ["discard", "lean", "remainder", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,54 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session does not name one (local tests) a temporary folder is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="grainmill-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended before the interpreter
-        pass
-
-
-@atexit.register
-def _clean() -> None:
-    for path, spark in _OWN_DIRS.items():
-        _delete(spark, path)
-
-
-def stored(df: DataFrame, *keys: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends at the files.
-
-    A lost executor costs a reread, not a recomputation. The files go when the driver ends
-    (or by ``discard`` before that).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/grainmill/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _OWN_DIRS[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what ``stored`` wrote for ``df``."""
-    path = getattr(df, "_stored_path", None)
-    if path and _OWN_DIRS.pop(path, None):
-        _delete(df.sparkSession, path)
-
-
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A batch function that gives freed memory back to the system when its partition ends.
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
+from grainmill.llm.common import lean
 from grainmill.llm.shingles import word_bounds, word_hashes
 from grainmill.llm.toxicity import labelled_sample
 
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str =
             bags = [x if len(x) <= sample_passages else x[np.linspace(0, len(x) - 1, sample_passages).astype(int)] for x in bags]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in bags], pa.int32()), pa.array([x.astype(np.float16).tobytes() for x in bags], pa.binary())], names=["draw", "label", "n", "x"])
 
-    own = sample.select("draw", "label", "text").mapInArrow(run, "draw long, label int, n int, x binary").toPandas().sort_values("draw", kind="stable")
+    own = sample.select("draw", "label", "text").mapInArrow(lean(run), "draw long, label int, n int, x binary").toPandas().sort_values("draw", kind="stable")
     x = np.frombuffer(b"".join(own.x), dtype=np.float16).reshape(-1, DIM).astype(np.float32)
     return train(x, own.n.to_numpy(dtype=np.int64), (own.label.to_numpy() == 1).astype(float))
 

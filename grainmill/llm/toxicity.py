@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.llm.common import lean
+
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -86,7 +88,7 @@ class Model:
         found = self.words.get(word)
         if found is None:
             found = self.words.get(stem(word) or "", 0.0)
-        if len(self._known) < 300_000:
+        if len(self._known) < 80_000:
             self._known[word] = found
         return found
 
@@ -156,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str =
         own = list(n[0].keys() | n[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([n[1][w] for w in own], pa.int64()), pa.array([n[0][w] for w in own], pa.int64())], names=["word", "t", "c"])
 
-    counts = sample.where(for_words).select("label", "text").mapInArrow(count, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = sample.where(for_words).select("label", "text").mapInArrow(lean(count), "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     all_t, all_c = (x or 0 for x in counts.agg(F.sum("t"), F.sum("c")).first())
     if not all_t or not all_c:
         return Model({}, margin, 1.0, 1.0, (0.0, 0.0), one_label=True)
@@ -186,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str =
             found = [model.hits(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for _, _, s in own] for _, own in found], pa.list_(pa.float64()))], names=["label", "n", "segments"])
 
-    held = sample.where(~for_words).select("label", "text").mapInArrow(measure, "label int, n long, segments array<double>").collect()  # bounded by the sample
+    held = sample.where(~for_words).select("label", "text").mapInArrow(lean(measure), "label int, n long, segments array<double>").collect()  # bounded by the sample
     clean = [r for r in held if r.label != 1]
     level = min(words.values(), default=1.0)
     reached = sum(s >= level for r in clean for s in r.segments)
@@ -239,8 +241,10 @@ def keep_rows(docs: DataFrame, scorer, below: float | None = None, at_least: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.array(scorer.value.scores(batch.column(at).to_pylist()), dtype=float)
-            keep = (s < (np.inf if below is None else below)) & (s >= (-np.inf if at_least is None else at_least))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names=names)
+            for start in range(0, batch.num_rows, 2000):
+                own = batch.slice(start, 2000)
+                s = np.array(scorer.value.scores(own.column(at).to_pylist()), dtype=float)
+                keep = (s < (np.inf if below is None else below)) & (s >= (-np.inf if at_least is None else at_least))
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in own.columns], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
