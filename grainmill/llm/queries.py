@@ -67,4 +67,15 @@ def op10_adaptive_scan_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_toxicity, op3_language_profiles, op4_chunk_dedup, op5_token_counts, op6_minmax_near_dedup, op7_byte_bpe, op8_best_fit_packing, op9_weighted_fingerprints, op10_adaptive_scan_neighbours)}
-ORACLE_SQL: dict[str, str] = {}
+#: Operators of learned models, tokenizers, hashes and samples have no SQL; tests hold them against plain code.
+ORACLE_SQL: dict[str, str] = {
+    "op6_minmax_near_dedup": """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda t: t <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id),
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN m ON m.id = d.doc_id""",
+}
