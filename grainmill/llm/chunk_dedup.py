@@ -3,7 +3,8 @@
 The gear hash of the last 32 bytes is worked out for a whole text at once, by doubling. A chunk ends at the
 white space whose hash is the greatest within ``REACH`` bytes on either side, so cuts depend on nothing
 but nearby bytes: an insertion moves no later cut. Stretches without a cut are cut every ``LONGEST`` bytes.
-Chunks are identified by a 128-bit digest; every occurrence but the first, by (id, place), is a repeat, and
+Chunks are identified by a 128-bit digest; of those that at least two documents have, every
+occurrence but the first, by (id, place), is a repeat, and
 runs of neighbouring repeats of ``min_words`` words at least are the spans that go.
 
 Null or empty text has no chunks. Rows with a null id are left as they are. Rows that share id and text
@@ -127,18 +128,19 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, rev, start, end, n_words, n_chunks, first_id, first_start): the spans that repeat earlier text.
+    """Rows (id, rev, start, end, n_words, n_chunks, first_id, first_start, source_ids): the spans that repeat earlier text.
 
-    first_id and first_start say where the span's first chunk occurs first.
+    A chunk counts if at least two ids have it. first_id and first_start say where the span's first chunk occurs
+    first, source_ids where any of its chunks does.
     """
     every = stored(chunks(docs, id_col, text_col))
     place = F.struct("id", "rev", "start")
-    known = every.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    known = every.groupBy("d1", "d2").agg(F.max("id").alias("last_id"), F.min(place).alias("first")).where("first.id <> last_id").drop("last_id")
     later = every.join(known, ["d1", "d2"]).where(place != F.col("first")).select("id", "rev", "start", "end", "words", "first").distinct()
     w = "PARTITION BY id, rev ORDER BY start"
     runs = later.withColumn("opens", F.expr(f"CASE WHEN lag(end) OVER ({w}) = start THEN 0 ELSE 1 END")).withColumn("run", F.expr(f"sum(opens) OVER ({w})"))
-    spans = runs.groupBy("id", "rev", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min_by("first", "start").alias("first"))
-    return spans.where(F.col("n_words") >= min_words).select(F.col("id").alias(id_col), "rev", "start", "end", "n_words", "n_chunks", F.col("first.id").alias(f"first_{id_col}"), F.col("first.start").alias("first_start"))
+    spans = runs.groupBy("id", "rev", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min_by("first", "start").alias("first"), F.array_sort(F.collect_set("first.id")).alias("source_ids"))
+    return spans.where(F.col("n_words") >= min_words).select(F.col("id").alias(id_col), "rev", "start", "end", "n_words", "n_chunks", F.col("first.id").alias(f"first_{id_col}"), F.col("first.start").alias("first_start"), "source_ids")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
