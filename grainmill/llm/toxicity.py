@@ -10,7 +10,8 @@ segments reach S by chance; the best r segments together give a tail probability
 word scores did not see, turns evidence into a score.
 
 Fitted on a bounded sample of ``sample_rows`` labelled rows (by a hash of the id): two thirds for word
-scores, one third for calibration; at most ``most_words`` words score. Null or empty text has no evidence
+scores, one third for calibration, which also tells how strong a word must be to score (the best of
+``least_scores``); at most ``most_words`` words score. Null or empty text has no evidence
 and takes the curve's value at 0. If only one label was seen, all scores are 0. Null ids and repeated rows
 pass through; rows with a null label or text are not learned from; other columns are not read.
 """
@@ -117,6 +118,20 @@ class Model:
             best = max(best, total - (r - 1) * math.log(max(total, 1.0)) + log_factorials)
         return best
 
+    def calibrate(self, held: list[tuple[int, list[float]]], y: np.ndarray) -> float:
+        """Fits K and the curve on (words, segment scores) of held documents; gives the loss per document."""
+        level = min(self.words.values(), default=1.0)
+        clean = [h for h, label in zip(held, y) if not label]
+        reached = sum(s >= level for _, segments in clean for s in segments)
+        self.scale = max(1e-6, (reached + 1) / (sum(n for n, _ in clean) + 1) * math.exp(self.rate * level))
+        x = np.array([math.log1p(self.evidence(n, [(0, 0, s) for s in segments])) for n, segments in held])
+        self.one_label = len(set(y.tolist())) < 2
+        if self.one_label:
+            return 0.0
+        self.curve = _logistic(x, y)
+        p = np.clip(1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * x))), 1e-9, 1 - 1e-9)
+        return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
     def scores(self, texts: list[str | None]) -> list[float]:
         return [self.score(x)[0] for x in texts]
 
@@ -145,7 +160,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, may_lear
     return docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 24_000, most_words: int = 20_000, prior: float = 0.1, least_z: float = 3.0, margin: float = 0.5, least_score: float = 2.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 24_000, most_words: int = 20_000, prior: float = 0.1, least_z: float = 3.0, margin: float = 0.5, least_scores: tuple[float, ...] = (0.5, 1.75, 2.5)) -> Model:
     """Learns word scores, the chance statistics and the curve from labelled rows for which ``may_learn`` holds."""
     sample = labelled_sample(docs, labels, label_col, may_learn, id_col, text_col, sample_rows)
     for_words = F.pmod(F.xxhash64(id_col, F.lit("part")), F.lit(3)) < 2
@@ -166,11 +181,24 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str =
     odds = lambda n, total: F.log((F.col(n) + own) / (total + prior * (all_t + all_c) - F.col(n) - own))
     delta = odds("t", all_t) - odds("c", all_c)
     spread = F.sqrt(1 / (F.col("t") + own) + 1 / (F.col("c") + own))
-    scored = counts.select("word", "c", delta.alias("delta"), (delta / spread).alias("z")).where((F.col("z") >= least_z) & (F.col("delta") > margin + least_score))
+    scored = counts.select("word", "c", delta.alias("delta"), (delta / spread).alias("z")).where((F.col("z") >= least_z) & (F.col("delta") > margin + min(least_scores)))
     rows = scored.orderBy(F.desc("z"), "word").limit(most_words).collect()
-    words = {r.word: r.delta - margin for r in rows}
+    models = [_chance_model([r for r in rows if r.delta - margin > least], margin, all_c) for least in least_scores]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[m.hits(x) for m in models] for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own[0][0] for own in found], pa.int64()), pa.array([[[s for _, _, s in segments] for _, segments in own] for own in found], pa.list_(pa.list_(pa.float64())))], names=["label", "n", "segments"])
+
+    held = sample.where(~for_words).select("label", "text").mapInArrow(lean(measure), "label int, n long, segments array<array<double>>").collect()  # bounded by the sample
+    y = np.array([r.label == 1 for r in held], dtype=float)
+    losses = [model.calibrate([(r.n, r.segments[k]) for r in held], y) for k, model in enumerate(models)]
+    return models[int(np.argmin(losses))]
 
-    # lambda solves E[exp(lambda s)] = 1 over words of clean documents
+
+def _chance_model(rows: list, margin: float, all_c: int) -> Model:
+    """Word scores of rows (word, c, delta), and lambda, which solves E[exp(lambda s)] = 1 over words of clean documents."""
+    words = {r.word: r.delta - margin for r in rows}
     scores = np.array([*words.values(), -margin])
     share = np.array([r.c + 0.5 for r in rows] + [max(1, all_c - sum(r.c for r in rows))], dtype=float)
     share /= share.sum()
@@ -181,23 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str =
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if expect(mid) < 1 else (low, mid)
-    model = Model(words, margin, high, 1.0, (0.0, 0.0))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.hits(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for _, _, s in own] for _, own in found], pa.list_(pa.float64()))], names=["label", "n", "segments"])
-
-    held = sample.where(~for_words).select("label", "text").mapInArrow(lean(measure), "label int, n long, segments array<double>").collect()  # bounded by the sample
-    clean = [r for r in held if r.label != 1]
-    level = min(words.values(), default=1.0)
-    reached = sum(s >= level for r in clean for s in r.segments)
-    model.scale = max(1e-6, (reached + 1) / (sum(r.n for r in clean) + 1) * math.exp(model.rate * level))
-    x = np.array([math.log1p(model.evidence(r.n, [(0, 0, s) for s in r.segments])) for r in held])
-    y = np.array([r.label == 1 for r in held], dtype=float)
-    model.one_label = len(set(y.tolist())) < 2
-    model.curve = (0.0, 0.0) if model.one_label else _logistic(x, y)
-    return model
+    return Model(words, margin, high, 1.0, (0.0, 0.0))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
