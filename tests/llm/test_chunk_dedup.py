@@ -82,3 +82,22 @@ def test_repeated_rows_count_as_one(spark):
     assert chunk_dedup.repeated_spans(docs).count() == 0
     more = docs.union(spark.createDataFrame([(2, t)], docs.schema))
     assert {r.doc_id for r in chunk_dedup.repeated_spans(more).collect()} == {2}
+
+
+def test_spans_hold_the_whole_passage(spark):
+    rng = random.Random(11)
+    rows, where = [], {}
+    for k in range(60):
+        passage = prose(rng, 51)
+        rows.append((10 * k, prose(rng, 40) + "\n" + passage + "\n" + prose(rng, 30)))
+        head = prose(rng, rng.randint(20, 60)) + "\n"
+        rows.append((10 * k + 1, head + passage + "\n" + prose(rng, 30)))
+        where[10 * k + 1] = (len(head.encode()), len((head + passage).encode()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in chunk_dedup.repeated_spans(docs).collect()}
+    assert got.keys() == where.keys()
+    text = dict(rows)
+    for i, (a, b) in where.items():
+        r = got[i]
+        assert a - 1 <= r.start <= a and b <= r.end <= b + 1 and r.n_words == 51
+        assert text[i].encode()[r.start : r.end] == text[r.first_doc_id].encode()[r.first_start :][: r.end - r.start]
