@@ -3,8 +3,8 @@
 The gear hash of the last 32 bytes is worked out for a whole text at once, by doubling. A chunk ends at the
 white space whose hash is the greatest within ``REACH`` bytes on either side, so cuts depend on nothing
 but nearby bytes: an insertion moves no later cut. Stretches without a cut are cut every ``LONGEST`` bytes.
-Chunks are identified by a 128-bit digest; of those that at least two documents have, every
-occurrence but the first, by (id, place), is a seed. Seeds are extended to both sides for as long as the text is
+Chunks are identified by a 128-bit digest; of those that occur more than once, in
+several texts or in one, every occurrence but the first, by (id, rev, place), is a seed. Seeds are extended to both sides for as long as the text is
 equal to that around their first occurrence, in whole characters and words; where extended seeds touch or overlap
 they make one span, and spans of ``min_words`` words at least go. Text that is repeated without a whole chunk
 in it isn't found.
@@ -263,13 +263,13 @@ def _extended(contexts: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, rev, start, end, n_words, n_chunks, first_id, first_start, source_ids): the spans that repeat earlier text.
 
-    A chunk counts if at least two ids have it. n_chunks is the number of chunks that the span was found by, first_id
+    A chunk counts if it occurs at two places, in texts of one id or within a text too. n_chunks is the number of chunks that the span was found by, first_id
     and first_start say where the text at the span's start occurs first, source_ids where any of those chunks does.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     every = chunks(named, "id", "text")  # worked out twice, as writing and reading all chunks takes more disk than the job has
     place = F.struct("id", "rev", "start")
-    known = every.groupBy("d1", "d2").agg(F.max("id").alias("last_id"), F.min(place).alias("origin")).where("origin.id <> last_id").drop("last_id")
+    known = every.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).where("n > 1").drop("n")
     later = every.join(known, ["d1", "d2"]).where(place != F.col("origin")).select("id", "rev", "start", "end", "origin").distinct()
     found = _extended(stored(_contexts(named, stored(_seeds(later))))).distinct()
     w = "OVER (PARTITION BY id, rev ORDER BY start, end DESC, origin_id, origin_start, words, n_chunks"

@@ -101,3 +101,16 @@ def test_spans_hold_the_whole_passage(spark):
         r = got[i]
         assert a - 1 <= r.start <= a and b <= r.end <= b + 1 and r.n_words == 51
         assert text[i].encode()[r.start : r.end] == text[r.first_doc_id].encode()[r.first_start :][: r.end - r.start]
+
+
+def test_repeats_under_one_id_and_within_a_text(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 60), prose(rng, 60)
+    texts = [prose(rng, 20) + "\n" + a + "\n" + prose(rng, 20) for _ in range(2)]
+    twice = prose(rng, 30) + "\n" + b + "\n" + prose(rng, 30) + "\n" + b + "\n" + prose(rng, 10)
+    docs = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (7, texts[1]), (8, twice), (8, twice)], "doc_id long, text string")
+    spans = chunk_dedup.repeated_spans(docs)
+    got = sorted((r.doc_id, r.n_words, r.first_doc_id, r.source_ids) for r in spans.collect())
+    assert got == [(7, 60, 7, [7]), (8, 60, 8, [8])]
+    after = [r.text for r in chunk_dedup.without_spans(docs, spans).collect()]
+    assert len(after) == 5 and sum(a in t for t in set(after)) == 1 and all(t.count(b) == 1 for t in after if b in t) and sum(b in t for t in after) == 2
