@@ -1,12 +1,14 @@
 """Substring dedup by content-defined chunks cut by a gear rolling hash.
 
 The gear hash of the last 32 bytes is worked out for a whole text at once, by doubling. A chunk ends at the
-white space whose hash is the greatest within ``REACH`` bytes on either side, so cuts depend on nothing
-but nearby bytes: an insertion moves no later cut. Stretches without a cut are cut every ``LONGEST`` bytes.
+white space whose hash is the greatest within ``REACH`` bytes on either side, or, where these hold no white space,
+at the character of the greatest hash, so cuts depend on nothing but nearby bytes: an insertion moves no later
+cut. Stretches without a cut are cut every ``LONGEST`` bytes.
 Chunks are identified by a 128-bit digest; of those that occur more than once, in
 several texts or in one, every occurrence but the first, by (id, rev, place), is a seed. Seeds are extended to both sides for as long as the text is
 equal to that around their first occurrence, in whole characters and words; where extended seeds touch or overlap
-they make one span, and spans of ``min_words`` words at least go. Text that is repeated without a whole chunk
+they make one span, and spans of ``min_words`` words at least go, where words of over ``REACH`` bytes
+count as one for every ``WORD_BYTES`` bytes. Text that is repeated without a whole chunk
 in it isn't found.
 
 Null or empty text has no chunks. Rows with a null id are left as they are. Rows that share id and text
@@ -28,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from grainmill.llm.common import lean, stored
 from grainmill.llm.shingles import mix, word_bounds
 
-REACH, LONGEST = 24, 512
+REACH, LONGEST, WORD_BYTES = 24, 512, 6
 #: So many bytes at least are looked at on either side of a seed.
 AROUND = 256
 _GEAR = (mix(np.arange(11, 267, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -60,13 +62,28 @@ def _greatest(h: np.ndarray, size: int) -> np.ndarray:
     return m[: len(h)]
 
 
-def hash_cuts(data: np.ndarray) -> np.ndarray:
-    """The ends of chunks that the gear hash tells."""
-    h = np.where(_IS_BLANK[data], gear(data), np.uint32(0))
+def _peaks(h: np.ndarray) -> np.ndarray:
+    """Where h is the greatest within REACH on either side."""
     right = np.append(_greatest(h, REACH)[1:], np.uint32(0))
     left = np.append(np.uint32(0), _greatest(h[::-1], REACH)[::-1][:-1])
-    ends = np.flatnonzero((h > left) & (h >= right)) + 1
-    return ends[ends < len(data)]
+    return (h > left) & (h >= right)
+
+
+def hash_cuts(data: np.ndarray) -> np.ndarray:
+    """The ends of chunks that the gear hash tells."""
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, dtype=np.int64)
+    h, blank = gear(data), _IS_BLANK[data]
+    at = _peaks(np.where(blank, h, np.uint32(0)))
+    before = np.append(0, np.cumsum(blank, dtype=np.int32))
+    place = np.arange(n)
+    bare = before[np.minimum(place + REACH + 1, n)] == before[np.maximum(place - REACH, 0)]
+    if bare.any():  # no white space within reach: the ends of characters
+        ends_char = np.append(data[1:] & 0xC0 != 0x80, True)
+        at |= bare & _peaks(np.where(ends_char, h, np.uint32(0)))
+    ends = np.flatnonzero(at) + 1
+    return ends[ends < n]
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -135,9 +152,15 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def word_marks(data: np.ndarray) -> np.ndarray:
-    """1 at the first byte of each word, else 0."""
+    """1 at the first byte of each word, and at each sixth after it in words of over REACH bytes, else 0.
+
+    So text without white space is measured by its length.
+    """
     marks = np.zeros(len(data), dtype=np.uint8)
-    marks[word_bounds(data)[0]] = 1
+    starts, ends = word_bounds(data)
+    marks[starts] = 1
+    for i in np.flatnonzero(ends - starts > REACH).tolist():
+        marks[starts[i] : ends[i] : WORD_BYTES] = 1
     return marks
 
 

@@ -114,3 +114,25 @@ def test_repeats_under_one_id_and_within_a_text(spark):
     assert got == [(7, 60, 7, [7]), (8, 60, 8, [8])]
     after = [r.text for r in chunk_dedup.without_spans(docs, spans).collect()]
     assert len(after) == 5 and sum(a in t for t in set(after)) == 1 and all(t.count(b) == 1 for t in after if b in t) and sum(b in t for t in after) == 2
+
+
+def test_text_without_white_space(spark):
+    rng = random.Random(13)
+    signs = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    coded = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    joined = lambda n: "\u00a0".join(coded(6) for _ in range(n))
+    rows, shared = [], {}
+    for k, make in enumerate((signs, coded, joined)):
+        p, whole = make(150), make(400)
+        rows += [(10 * k, make(90) + p + make(80)), (10 * k + 1, make(131) + p + make(77)), (10 * k + 2, whole), (10 * k + 3, whole), (10 * k + 4, make(500))]
+        shared[10 * k + 1] = p
+        shared[10 * k + 3] = whole
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = chunk_dedup.repeated_spans(docs)
+    got = {r.doc_id: r for r in spans.collect()}
+    text = dict(rows)
+    assert got.keys() == shared.keys()
+    for i, p in shared.items():
+        assert p in text[i].encode()[got[i].start : got[i].end].decode() and got[i].end - got[i].start <= len(p.encode()) + 12
+    after = {r.doc_id: r.text for r in chunk_dedup.without_spans(docs, spans).collect()}
+    assert all(after[10 * k + 3] == "" for k in range(3))
