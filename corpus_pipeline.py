@@ -18,6 +18,8 @@ from grainmill.llm import chunk_dedup, minmax_dedup, packing, quality, toxicity
 from grainmill.llm.common import remainder, stored, table
 
 TOXIC_FROM, GOOD_FROM = 0.5, 0.5
+#: Near duplicates share so much of their runs of five words.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near duplicates."""
-    gone = minmax_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = minmax_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 

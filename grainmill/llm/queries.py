@@ -46,7 +46,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from grainmill.llm import minmax_dedup
 from grainmill.plans.connected import components
 from grainmill.llm.shingles import shingle_set, word_hashes
@@ -90,3 +91,19 @@ def test_components_of_a_chain_and_a_star(spark):
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bands_and_agreement_follow_the_similarity(spark):
+    assert [(minmax_dedup.band_size(p), minmax_dedup.least_equal(p)) for p in (85, 80)] == [(5, 75), (4, 67)]
+    rows = list(enumerate(texts(21)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, minmax_dedup.near_duplicates(df, percent=80).collect())) == brute(rows, 80)
+
+
+def test_pipeline_drops_near_copies_from_080_on(spark):
+    own = [f"w{k}" for k in range(204)]
+    near = own[:100] + ["other"] * 1 + own[101:150] + ["more"] + own[151:180] + ["most"] + own[181:195] + ["last"] + own[196:]
+    sets = [plain_set(" ".join(x)) for x in (own, near)]
+    assert 0.80 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85
+    docs = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(near)), (None, " ".join(near))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, None}
