@@ -267,3 +267,11 @@ def test_coarsen_and_train(spark, tmp_path):
 def test_dropout_mask():
     mask = sage.kept(np.arange(2000), 5, 0.3)
     assert abs(mask.mean() - 1) < 0.05 and set(np.unique(mask.round(6))) == {0.0, round(1 / 0.7, 6)}
+
+
+def test_iterated_spectrum_fails_loudly(g, monkeypatch):
+    monkeypatch.setattr(spectral, "DENSE_NODES", 1)
+    monkeypatch.setattr(spectral, "MOST_ROUNDS", 1)
+    monkeypatch.setattr(spectral, "TOLERANCE", 1e-9)
+    with pytest.raises(RuntimeError, match="not found after"):
+        spectral.smallest_eigenpairs(g, 4, rounds=1, degree_of_filter=2)
