@@ -55,8 +55,57 @@ def test_few_candidates_and_none(spark):
 
 def test_candidates_are_given_up_early():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 64))
-    q = rng.normal(size=64)
-    at, d = neighbours.scan(q, q, x, x, np.inf, 10)
-    true = np.sort(((x - q) ** 2).sum(axis=1))[:10]
-    assert np.isin(np.round(true, 9), np.round(d, 9)).mean() >= 0.9 and len(at) < 40
+    x, q = rng.normal(size=(3000, 64)), rng.normal(size=(5, 64))
+    at, c, d = neighbours.scan(q, q, x, x, np.full(5, np.inf), 10)
+    hits = 0
+    for i in range(5):
+        true = np.sort(((x - q[i]) ** 2).sum(axis=1))[:10]
+        hits += np.isin(np.round(true, 9), np.round(d[at == i], 9)).sum()
+        assert (at == i).sum() < 40 and np.allclose(d[at == i], ((x[c[at == i]] - q[i]) ** 2).sum(axis=1))
+    assert hits >= 45
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """20,000 vectors around 300 centres, and the true neighbours of each hundredth."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 32))[rng.integers(0, 300, 20_000)] + 0.6 * rng.normal(size=(20_000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").cache()
+    true = {}
+    for q in range(0, 20_000, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        true[q] = set(np.argsort(d, kind="stable")[:10].tolist())
+    return df, true
+
+
+def recall(df, true):
+    got = {}
+    for r in neighbours.nearest(df, F.col("id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(v) == 10 for v in got.values())
+    return sum(len(got.get(q, set()) & own) for q, own in true.items()) / (10 * len(true))
+
+
+def test_recall_over_many_lists(many):
+    assert recall(*many) >= 0.9
+
+
+def test_portions_and_askers_split_the_work(many, monkeypatch):
+    monkeypatch.setattr(neighbours, "PORTION", 64)
+    monkeypatch.setattr(neighbours, "ASKERS", 16)
+    monkeypatch.setattr(neighbours, "TILE", 20)
+    assert recall(*many) >= 0.9
+
+
+def test_answers_come_from_the_scan_alone(many, monkeypatch):
+    none = np.zeros(0, dtype=np.int64)
+    monkeypatch.setattr(neighbours, "scan", lambda *a: (none, none, np.zeros(0)))
+    assert neighbours.nearest(many[0], F.col("id") % 100 == 0).count() == 0
+
+
+def test_lists_grow_with_the_square_root(many):
+    df, _ = many
+    index = neighbours.fit(*neighbours.usable(df, "vec_id", "embedding"), 10)
+    assert [len(b) for b in index.books] == [round(20_000**0.25)] * 2
+    assert index.probes < 0.6 * len(index.books[0]) * len(index.books[1])
