@@ -303,23 +303,23 @@ def repeated_spans(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id",
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans cut out of their texts; rows and columns stay as they are."""
-    per_doc = spans.groupBy(F.col(id_col).alias("_id"), F.col("rev").alias("_rev")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    rev = F.crc32(F.col(text_col).cast("binary"))
-    joined = docs.join(per_doc, (F.col(id_col) == F.col("_id")) & (rev == F.col("_rev")), "left").select(*[docs[c] for c in docs.columns], "_spans")
+    """``docs`` with the spans cut out of their texts; rows and columns, whatever their names, stay as they are."""
+    per_doc = spans.groupBy(F.col(id_col).alias("id"), "rev").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("id", F.col("row").getField(id_col)).withColumn("rev", F.crc32(F.col("row").getField(text_col).cast("binary")))
+    joined = packed.join(per_doc, ["id", "rev"], "left").select("row", "spans")
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(len(names)).to_pylist()):
+            columns = batch.column(0).flatten()
+            texts = columns[at].to_pylist()
+            for i, spans in enumerate(batch.column(1).to_pylist()):
                 if spans:
                     raw, last, kept = texts[i].encode("utf-8"), 0, []
                     for s in sorted(spans, key=lambda s: s["start"]):
                         kept.append(raw[last : s["start"]])
                         last = s["end"]
                     texts[i] = b"".join([*kept, raw[last:]]).decode("utf-8")
-            columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

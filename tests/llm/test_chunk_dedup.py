@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from grainmill.llm import chunk_dedup
 
@@ -51,7 +52,7 @@ def test_spans_and_removal(spark):
         for j in range(2 + k % 3):
             rows.append((100 + 10 * k + j, prose(rng, rng.randint(20, 200)) + " " + p + " " + prose(rng, 30)))
     rows += [(900, None), (901, ""), (None, shared[0]), (902, rows[0][1]), (903, "dup " * 3000)]
-    docs = spark.createDataFrame([(i, t, "s", i) for i, t in rows], "doc_id long, text string, start string, rev long")
+    docs = spark.createDataFrame([(i, t, "s", i) for i, t in rows], "doc_id long, text string, start string, rev long").withColumns({c: F.lit(c) for c in ("_id", "_rev", "_spans", "id", "spans", "row")})
     spans = chunk_dedup.repeated_spans(docs)
     got = spans.collect()
     flagged = {r.doc_id for r in got} | {r.first_doc_id for r in got}

@@ -68,6 +68,20 @@ def test_without_a_lucky_star(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_crowded_buckets_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(minmax_dedup, "CROWD", 4)
+    monkeypatch.setattr(minmax_dedup, "PORTION", 2)
+    rows = list(enumerate(texts(17, 90)))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_shared_ids_are_one_node(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (4, b), (9, c), (9, ""), (9, None), (5, c + " more")]
+    got = sorted(set(run(spark, rows)))
+    assert {(i, comp) for i, _, comp, _ in got} == {(3, 3), (4, 3), (5, 3), (9, 3)} and {i for i, _, _, kept in got if kept} == {3}
+
+
 def test_null_ids_repeated_rows_and_nothing(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, None)]
     assert run(spark, rows) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]

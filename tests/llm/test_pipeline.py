@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -33,6 +34,7 @@ def make(spark, folder):
     for r in rows:
         r[4] = len(r[1]) if r[1] is not None and r[4] is not None else None
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score string")
+    docs = docs.withColumns({c: F.lit(c) for c in ("_id", "_rev", "_spans", "_gone", "id", "key", "row", "spans")})
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return docs, rows, toxic, poor, passage
@@ -70,6 +72,16 @@ def test_stages(spark, tmp_path):
     assert max(sequences.values()) <= 1024
 
 
+def test_shared_ids_lose_no_text(spark):
+    rng = random.Random(9)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    long = "word " * 60_000 + d
+    rows = [(5, a), (5, b), (5, b), (3, a), (-7, b), (8, c), (8, c), (8, long), (9, long), (None, a), (11, None), (11, None)]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, key string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, a), (-7, b), (8, c), (8, long), (None, a), (11, None)], key=str)
+
+
 def test_nothing_at_all(spark, tmp_path):
     docs, *_ = make(spark, str(tmp_path / "a"))
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
