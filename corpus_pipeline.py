@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the one before ke
 ``docs``; the last returns packed pieces. Classifiers learn from the labels in ``sf_dir`` of the documents at
 hand. Null and empty texts pass the toxicity stage, and the quality stage as its model scores them; they are
 nobody's near duplicate, have no repeated passage, and are packed as the end id alone. Rows with a null id
-stay. Rows that share an id share one decision in the near-duplicate stage. Extra columns are kept, whatever
+stay. Texts of any length are read whole. Rows that share an id are told apart by their text in the near-duplicate
+stage, where of rows equal in both one stays; of equal texts the row of the least id stays. Null labels are not learned
+from, and of several labels of one id each counts. Extra columns are kept, whatever
 their names, up to the last stage. An empty table gives an empty result.
 """
 
@@ -36,10 +38,27 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_rows(docs, spark.sparkContext.broadcast(model), at_least=GOOD_FROM)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows (key, row): ``row`` holds all columns of ``docs``; keys are in the order of ids, and of one id there is one for each text.
+
+    Where every id is there once, it is the key itself.
+    """
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    ids = packed.where("row.doc_id IS NOT NULL").groupBy("row.doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1").isEmpty():
+        return packed.select(F.col("row.doc_id").alias("key"), "row")
+    place = F.lpad(F.hex(F.col("row.doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    own = F.concat_ws(":", place, F.md5(F.coalesce("row.text", F.lit("")).cast("binary")))
+    keyed = packed.select(F.when(F.col("row.doc_id").isNotNull(), own).alias("key"), "row")
+    return keyed.where("key IS NULL").unionByName(keyed.where("key IS NOT NULL").dropDuplicates(["key"]))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near duplicates."""
-    gone = minmax_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    keyed = _keyed(docs)
+    found = minmax_dedup.near_duplicates(keyed.select("key", F.col("row.text").alias("text")), percent=NEAR_PERCENT, id_col="key")
+    gone = found.where("NOT kept").select("key").distinct()
+    return keyed.join(gone, "key", "left_anti").select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
