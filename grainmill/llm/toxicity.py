@@ -1,19 +1,21 @@
 """Toxicity by maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-A word's score is its log-odds of standing in toxic rather than clean documents (of a word not seen often
-enough, that of its first five letters), under a Dirichlet prior in
-proportion to its overall frequency, less a margin; only words whose log-odds are significantly positive
-score above the background, all others take the same small loss. A linear scan finds all maximal scoring
+Every word has a score: its log-odds of standing in toxic rather than clean documents, under a Dirichlet prior
+in proportion to its overall frequency, less a margin. Words are drawn together by their beginnings: the prefixes of
+``LEAST_PREFIX`` letters and more are scored first, and a longer one, or the word itself, moves from its
+prefix's log-odds only by as much as its own exceed ``least_z`` standard errors. So words seen seldom or
+never take the score of their beginning, most take the margin alone, and words of clean documents count
+against toxicity. A linear scan finds all maximal scoring
 segments of a document. By Karlin and Altschul, in a clean document of m words about K m exp(-lambda S)
 segments reach S by chance; the best r segments together give a tail probability, and its negative logarithm
-(the greatest over r) is the document's evidence. A logistic curve, fitted on labelled documents that the
-word scores did not see, turns evidence into a score.
+(the greatest over r) is the document's evidence. A logistic curve turns evidence into a score. Lambda, K and
+the curve are fitted on labelled documents by word scores that did not see them, fold by fold, which also tells
+which of ``SETTINGS`` to take.
 
-Fitted on a bounded sample of ``sample_rows`` labelled rows (by a hash of the id): two thirds for word
-scores, one third for calibration, which also tells how strong a word must be to score (the best of
-``least_scores``); at most ``most_words`` words score. Null or empty text has no evidence
+Fitted on a bounded sample of ``sample_rows`` labelled rows (by a hash of the id), of whose words and prefixes those
+in two documents or more are learned. Null or empty text has no evidence
 and takes the curve's value at 0. If only one label was seen, all scores are 0. Null ids and repeated rows
-pass through; rows with a null label or text are not learned from; other columns are not read.
+pass through; a row with several labels counts once for each; rows with a null label or text are not learned from; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,17 +34,49 @@ from pyspark.sql import functions as F
 from grainmill.llm.common import lean
 
 WORDS = re.compile(r"[^\W\d_]+")
+LEAST_PREFIX, MOST_PREFIX, FOLDS = 4, 7, 3
+#: (least z, margin): how sure and how strong log-odds must be; the setting that explains the held-out folds best is taken.
+SETTINGS = ((1.5, 0.5), (3.0, 1.5), (3.0, 2.0))
 
 
-def stem(word: str) -> str | None:
-    """What a word backs off to: its first five letters."""
-    return word[:5] + "*" if len(word) > 5 else None
+def chain(word: str) -> list[str]:
+    """The prefixes of a word, shortest first, and the word."""
+    return [*(word[:k] + "*" for k in range(LEAST_PREFIX, min(MOST_PREFIX, len(word) - 1) + 1)), word]
 
 
 def tokens(text: str) -> set[str]:
-    """Words and stems, each once: a word that one document repeats proves little."""
-    own = set(WORDS.findall(text.lower()))
-    return own | {s for w in own if (s := stem(w))}
+    """Words and prefixes, each once: a word that one document repeats proves little."""
+    return {x for w in set(WORDS.findall(text.lower())) for x in chain(w)}
+
+
+def parent(token: str) -> str | None:
+    """The longest prefix of a word or prefix."""
+    own = token.removesuffix("*")
+    size = min(MOST_PREFIX, len(own) - 1)
+    return own[:size] + "*" if size >= LEAST_PREFIX else None
+
+
+def log_odds(names: list[str], t: np.ndarray, c: np.ndarray, prior: float, least_z: float) -> dict[str, float]:
+    """Of tokens in t toxic and c clean documents the log-odds, moved from their prefix's by what is significant; 0 is left out where the prefix has it."""
+    all_t, all_c = t.sum(), c.sum()
+    own = prior * (t + c)  # the prior's weight is this share of all counts
+    whole = prior * (all_t + all_c)
+    seen = t + c > 0
+    t, c, own = t[seen], c[seen], own[seen]
+    names = [n for n, s in zip(names, seen.tolist()) if s]
+    delta = np.log((t + own) / (all_t + whole - t - own)) - np.log((c + own) / (all_c + whole - c - own))
+    error = least_z * np.sqrt(1 / (t + own) + 1 / (c + own))
+    out: dict[str, float] = {}
+    for k in sorted(range(len(names)), key=lambda k: (not names[k].endswith("*"), len(names[k]))):
+        token, above = names[k], parent(names[k])
+        while above is not None and above not in out:
+            above = parent(above)
+        base = out.get(above, 0.0)
+        away = float(delta[k]) - base
+        moved = math.copysign(max(0.0, abs(away) - float(error[k])), away)
+        if moved:
+            out[token] = base + moved
+    return out
 
 
 def maximal_segments(items: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
@@ -71,41 +105,46 @@ def maximal_segments(items: list[tuple[int, int, float]]) -> list[tuple[int, int
 
 @dataclass
 class Model:
+    """``words``: the log-odds of words and prefixes; what it lacks has those of its longest prefix there, or 0."""
+
     words: dict[str, float]
-    loss: float
+    margin: float
     rate: float  # lambda
     scale: float  # K
     curve: tuple[float, float]
     one_label: bool = False
 
     def __post_init__(self) -> None:
-        self._known: dict[str, float] = dict(self.words)
+        self._known: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": dict(self.words)}
+        return self.__dict__ | {"_known": {}}
 
     def _word(self, word: str) -> float:
-        """The score of a word, or else of its stem; 0 is the background."""
-        found = self.words.get(word)
-        if found is None:
-            found = self.words.get(stem(word) or "", 0.0)
-        if len(self._known) < 80_000:
-            self._known[word] = found
-        return found
+        own = next((self.words[x] for x in reversed(chain(word)) if x in self.words), 0.0) - self.margin
+        if len(self._known) < 80_000 and len(word) < 40:
+            self._known[word] = own
+        return own
 
-    def hits(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        """The number of words, and segments by word positions."""
+    def word_scores(self, text: str) -> np.ndarray:
         own = WORDS.findall(text.lower())
-        scored = [(i, s) for i, s in enumerate(map(self._known.get, own)) if s != 0.0]
-        if any(s is None for _, s in scored):
-            scored = [(i, s) for i, s in ((i, self._word(own[i]) if s is None else s) for i, s in scored) if s]
-        items, last = [], -1
-        for i, s in scored:
-            if i - last > 1 and items:
-                items.append((last + 1, i - 1, -self.loss * (i - last - 1)))
-            items.append((i, i, s))
-            last = i
-        return len(own), maximal_segments(items)
+        found = list(map(self._known.get, own))
+        if None in found:
+            found = [self._word(w) if s is None else s for w, s in zip(own, found)]
+        return np.array(found, dtype=np.float64)
+
+    def segments(self, scores: np.ndarray) -> list[tuple[int, int, float]]:
+        """The maximal segments by word positions: words of one sign in a row go in together."""
+        if not len(scores):
+            return []
+        edges = np.flatnonzero(np.diff(scores > 0)) + 1
+        starts = np.append(0, edges)
+        return maximal_segments(list(zip(starts.tolist(), [*(edges - 1).tolist(), len(scores) - 1], np.add.reduceat(scores, starts).tolist())))
+
+    def hits(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """The number of words, and the segments."""
+        scores = self.word_scores(text)
+        return len(scores), self.segments(scores)
 
     def evidence(self, n_words: int, segments: list[tuple[int, int, float]]) -> float:
         best, total, log_km, log_factorials = 0.0, 0.0, math.log(self.scale * max(1, n_words)), 0.0
@@ -118,18 +157,22 @@ class Model:
             best = max(best, total - (r - 1) * math.log(max(total, 1.0)) + log_factorials)
         return best
 
-    def calibrate(self, held: list[tuple[int, list[float]]], y: np.ndarray) -> float:
-        """Fits K and the curve on (words, segment scores) of held documents; gives the loss per document."""
-        level = min(self.words.values(), default=1.0)
+    def calibrate(self, held: list[tuple[int, list[float]]], y: np.ndarray, scores: np.ndarray, times: np.ndarray) -> float:
+        """Fits lambda, K and the curve on (words, segment scores) of documents with labels y, and on how often words of clean ones had which scores.
+
+        Gives the loss a document.
+        """
+        self.rate = decay_rate(scores, times / max(1, times.sum()))
         clean = [h for h, label in zip(held, y) if not label]
-        reached = sum(s >= level for _, segments in clean for s in segments)
-        self.scale = max(1e-6, (reached + 1) / (sum(n for n, _ in clean) + 1) * math.exp(self.rate * level))
+        top = sorted((s for _, segments in clean for s in segments), reverse=True)[:100]
+        level = top[-1] if top else 0.0
+        self.scale = max(1e-6, (len(top) + 1) / (sum(n for n, _ in clean) + 1) * math.exp(min(self.rate * level, 500.0)))
         x = np.array([math.log1p(self.evidence(n, [(0, 0, s) for s in segments])) for n, segments in held])
         self.one_label = len(set(y.tolist())) < 2
         if self.one_label:
             return 0.0
         self.curve = _logistic(x, y)
-        p = np.clip(1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * x))), 1e-9, 1 - 1e-9)
+        p = np.clip(1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * x, -30, 30))), 1e-9, 1 - 1e-9)
         return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
     def scores(self, texts: list[str | None]) -> list[float]:
@@ -160,61 +203,78 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, may_lear
     return docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 24_000, most_words: int = 20_000, prior: float = 0.1, least_z: float = 3.0, margin: float = 0.5, least_scores: tuple[float, ...] = (0.5, 1.75, 2.5)) -> Model:
+def decay_rate(scores: np.ndarray, share: np.ndarray) -> float:
+    """Lambda: the positive solution of E[exp(lambda s)] = 1, 64 if there is none."""
+    expect = lambda x: float(share @ np.exp(np.minimum(x * scores, 500)))
+    low, high = 1e-6, 1.0
+    while expect(high) < 1 and high < 64:
+        high *= 2
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if expect(mid) < 1 else (low, mid)
+    return high
+
+
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 24_000, prior: float = 0.1, settings: tuple[tuple[float, float], ...] = SETTINGS) -> Model:
     """Learns word scores, the chance statistics and the curve from labelled rows for which ``may_learn`` holds."""
-    sample = labelled_sample(docs, labels, label_col, may_learn, id_col, text_col, sample_rows)
-    for_words = F.pmod(F.xxhash64(id_col, F.lit("part")), F.lit(3)) < 2
+    sample = labelled_sample(docs, labels, label_col, may_learn, id_col, text_col, sample_rows).select("label", "text", F.pmod(F.xxhash64(id_col, F.lit("part")), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = (Counter(), Counter())
+        n = [Counter() for _ in range(2 * FOLDS)]
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n[label == 1].update(tokens(text))
-        own = list(n[0].keys() | n[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([n[1][w] for w in own], pa.int64()), pa.array([n[0][w] for w in own], pa.int64())], names=["word", "t", "c"])
-
-    counts = sample.where(for_words).select("label", "text").mapInArrow(lean(count), "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    all_t, all_c = (x or 0 for x in counts.agg(F.sum("t"), F.sum("c")).first())
-    if not all_t or not all_c:
-        return Model({}, margin, 1.0, 1.0, (0.0, 0.0), one_label=True)
-    own = F.lit(prior) * (F.col("t") + F.col("c"))  # the prior's weight is this share of all counts
-    odds = lambda n, total: F.log((F.col(n) + own) / (total + prior * (all_t + all_c) - F.col(n) - own))
-    delta = odds("t", all_t) - odds("c", all_c)
-    spread = F.sqrt(1 / (F.col("t") + own) + 1 / (F.col("c") + own))
-    scored = counts.select("word", "c", delta.alias("delta"), (delta / spread).alias("z")).where((F.col("z") >= least_z) & (F.col("delta") > margin + min(least_scores)))
-    rows = scored.orderBy(F.desc("z"), "word").limit(most_words).collect()
-    models = [_chance_model([r for r in rows if r.delta - margin > least], margin, all_c) for least in least_scores]
+            for label, text, fold in zip(*(c.to_pylist() for c in batch.columns)):
+                n[2 * fold + (label == 1)].update(tokens(text))
+        for k, own in enumerate(n):
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([k] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], names=["token", "cell", "n"])
+
+    cells = sample.mapInArrow(lean(count), "token string, cell int, n long")
+    counts = cells.groupBy("token").agg(*[F.sum(F.when(F.col("cell") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2 * FOLDS)])
+    found = counts.where(" + ".join(f"n{k}" for k in range(2 * FOLDS)) + " > 1").orderBy("token").toArrow()  # bounded by the sample
+    names, n = found.column("token").to_pylist(), np.array([found.column(f"n{k}").to_numpy() for k in range(2 * FOLDS)], dtype=np.float64).reshape(2 * FOLDS, -1)
+    if not n[1::2].any() or not n[0::2].any():
+        return Model({}, 0.0, 1.0, 1.0, (0.0, 0.0), one_label=True)
+
+    def learn(left_out: int | None) -> list[Model]:
+        t, c = (sum(n[2 * k + y] for k in range(FOLDS) if k != left_out) for y in (1, 0))
+        odds = {z: log_odds(names, t, c, prior, z) for z in {z for z, _ in settings}}
+        return [Model(odds[z], margin, 1.0, 1.0, (0.0, 0.0)) for z, margin in settings]
+
+    by_fold = docs.sparkSession.sparkContext.broadcast([learn(k) for k in range(FOLDS)])  # bounded by the sample
+    columns = ["label", "setting", "n", "segments", "scores", "times"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[m.hits(x) for m in models] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own[0][0] for own in found], pa.int64()), pa.array([[[s for _, _, s in segments] for _, segments in own] for own in found], pa.list_(pa.list_(pa.float64())))], names=["label", "n", "segments"])
-
-    held = sample.where(~for_words).select("label", "text").mapInArrow(lean(measure), "label int, n long, segments array<array<double>>").collect()  # bounded by the sample
-    y = np.array([r.label == 1 for r in held], dtype=float)
-    losses = [model.calibrate([(r.n, r.segments[k]) for r in held], y) for k, model in enumerate(models)]
-    return models[int(np.argmin(losses))]
+        kinds: list[Counter] = [Counter() for _ in settings]
+        array = lambda x: pa.array(x, pa.list_(pa.float64()))
 
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            label, k, size, segments, scores, times = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(k, pa.int32()), pa.array(size, pa.int64()), array(segments), array(scores), array(times)], names=columns)
 
-def _chance_model(rows: list, margin: float, all_c: int) -> Model:
-    """Word scores of rows (word, c, delta), and lambda, which solves E[exp(lambda s)] = 1 over words of clean documents."""
-    words = {r.word: r.delta - margin for r in rows}
-    scores = np.array([*words.values(), -margin])
-    share = np.array([r.c + 0.5 for r in rows] + [max(1, all_c - sum(r.c for r in rows))], dtype=float)
-    share /= share.sum()
-    low, high = 1e-6, 1.0
-    expect = lambda x: float(share @ np.exp(np.minimum(x * scores, 500)))
-    while expect(high) < 1 and high < 64:
-        high *= 2
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if expect(mid) < 1 else (low, mid)
-    return Model(words, margin, high, 1.0, (0.0, 0.0))
+        for batch in batches:
+            rows = []
+            for label, text, fold in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, model in enumerate(by_fold.value[fold]):
+                    scores = model.word_scores(text)
+                    rows.append((label, k, len(scores), [s for _, _, s in model.segments(scores)], [], []))
+                    if label != 1:
+                        kinds[k].update(np.round(scores, 2).tolist())
+            if rows:
+                yield made(rows)
+        yield made([(None, k, 0, [], list(own), list(own.values())) for k, own in enumerate(kinds)])
+
+    measured = sample.mapInArrow(lean(measure), "label int, setting int, n long, segments array<double>, scores array<double>, times array<double>").toArrow().to_pylist()  # bounded by the sample
+    losses, models = [], learn(None)
+    for k, model in enumerate(models):
+        own = [r for r in measured if r["setting"] == k]
+        held = [r for r in own if r["label"] is not None]
+        scores, times = (np.array([x for r in own for x in r[name]], dtype=np.float64) for name in ("scores", "times"))
+        losses.append(model.calibrate([(r["n"], r["segments"]) for r in held], np.array([r["label"] == 1 for r in held], dtype=float), scores, times))
+    return models[int(np.argmin(losses))]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, score, evidence, n_passages) for each row of ``docs``; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by most_words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

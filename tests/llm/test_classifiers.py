@@ -65,6 +65,56 @@ def test_toxicity_learns_and_scores_every_row(spark):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_word_scores_equal_a_plain_version(spark):
+    docs, labels, n = corpus(spark)
+    model = toxicity.fit(docs, labels, F.col("doc_id") % 4 != 1, settings=((1.5, 0.5),))
+    text, label = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    repeated = [0]  # this row is there twice
+    rows = [(text[i], label[i]) for i in [*text, *repeated] if i is not None and i % 4 != 1 and text[i] is not None and label.get(i) is not None]
+    t, c = {}, {}
+    for own, y in rows:
+        for w in {x for w in toxicity.WORDS.findall(own.lower()) for x in [w, *(w[:k] + "*" for k in range(4, 8) if k < len(w))]}:
+            for to, there in ((t, y), (c, 1 - y)):
+                to[w] = to.get(w, 0) + there
+    known = [w for w in t if t[w] + c[w] > 1]
+    all_t, all_c = sum(t[w] for w in known), sum(c[w] for w in known)
+
+    def odds(w):
+        if w is None or w not in known:
+            return 0.0 if w is None else odds(above(w))
+        base, own = odds(above(w)), 0.1 * (t[w] + c[w])
+        away = math.log((t[w] + own) / (1.1 * all_t + 0.1 * all_c - t[w] - own)) - math.log((c[w] + own) / (0.1 * all_t + 1.1 * all_c - c[w] - own)) - base
+        return base + math.copysign(max(0.0, abs(away) - 1.5 * math.sqrt(1 / (t[w] + own) + 1 / (c[w] + own))), away)
+
+    def above(w):
+        own = w.rstrip("*")
+        k = min(7, len(own) - 1)
+        return own[:k] + "*" if k >= 4 else None
+
+    for w in [*known, "snurfle", "blarghish", "unseen"]:
+        assert abs(model._word(w) + 0.5 - odds(w)) < 1e-9 or w.endswith("*")
+        if w.endswith("*") and w in model.words:
+            assert abs(model.words[w] - odds(w)) < 1e-9
+    assert model._word("blargh") > 0.5 and model._word("snurfle") > 0.5 > model._word("unseen")
+
+
+def test_chance_statistics():
+    scores, share = np.array([2.0, -1.0, -0.5]), np.array([0.1, 0.5, 0.4])
+    rate = toxicity.decay_rate(scores, share)
+    assert abs(share @ np.exp(rate * scores) - 1) < 1e-6
+    model = toxicity.Model({}, 0.5, 1.0, 1.0, (0.0, 0.0))
+    held = [(100, [float(k)]) for k in range(1, 9)] + [(100, [20.0])]
+    model.calibrate(held, np.array([0.0] * 8 + [1.0]), scores, share)
+    # nine of 801 words: K = (8 + 1) / 801 exp(lambda * least of the clean segments)
+    assert abs(model.scale - 9 / 801 * math.exp(rate * 1.0)) < 1e-9
+    # one segment: -log(K m exp(-lambda S)); two: their sum less log(x), and log 2
+    km = model.scale * 50
+    one = rate * 9 - math.log(km)
+    assert abs(model.evidence(50, [(0, 0, 9.0)]) - one) < 1e-9
+    two = 2 * one - math.log(2 * one) + math.log(2)
+    assert abs(model.evidence(50, [(0, 0, 9.0), (5, 5, 9.0)]) - max(one, two)) < 1e-9
+
+
 def test_more_segments_more_evidence():
     model = toxicity.Model({"bad": 3.0}, 0.5, 1.0, 0.01, (0.0, 1.0))
     e = [model.evidence(*model.hits("ok " * 50 + "bad " * k)) for k in range(5)]
