@@ -1,8 +1,10 @@
 import hashlib
+import math
 import random
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from grainmill.llm import weighted_sampling as ws
@@ -20,8 +22,9 @@ def jaccard(a, b):
 
 
 def plain(rows):
-    """Rows by (id, text), null ids last, each with its edited text and its successor."""
-    own = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    """Rows by (id, hash of the text), null ids last, each with its edited text and its successor."""
+    place = {t: xxhash.xxh64_intdigest(t.encode(), seed=42) >> 1 for t in {t or "" for _, t in rows}}
+    own = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, place[r[1]]))
     out = []
     for (i, t), (_, nxt) in zip(own, own[1:] + own[:1]):
         h = len(t) // 2
@@ -76,6 +79,40 @@ def test_agreement_is_the_generalised_jaccard_similarity(spark):
     assert abs(sum(errors) / len(errors)) < 0.025 and (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.1
 
 
+def test_samples_equal_a_plain_sampler(spark):
+    text = "one two two three-and-a-bit four four four four"
+    own = weights(text)
+    hashes = {w: spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] for w in own}
+    seeds = spark.createDataFrame([(w, h) for w, h in hashes.items()], "w string, term long")
+    drawn = {r.w: r for r in seeds.select("w", *[F.xxhash64("term", F.lit(k)).alias(f"h{k}") for k in range(2 * ws.SAMPLES)]).collect()}
+    got = ws.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().fingerprint
+    for j in range(ws.SAMPLES):
+        best = None
+        for w, weight in own.items():
+            x, y = (drawn[w][f"h{2 * j + k}"] % 2**64 for k in range(2))
+            u = lambda v, at, size: ((v >> at & 2**size - 1) + 0.5) * 2.0**-size
+            r, c, b = -math.log(u(x, 0, 32) * u(x, 32, 32)), -math.log(u(y, 0, 24) * u(y, 24, 24)), u(y, 48, 16)
+            t = math.floor(math.log(weight) / r + b)
+            a = math.log(c) - r * (t - b + 1)
+            if best is None or a < best[0]:
+                best = (a, (hashes[w] ^ t) % 2**32)
+        assert got[8 * j : 8 * j + 8] == f"{best[1]:08x}"
+
+
+def test_ranges_are_even_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(ws, "ROWS_A_RANGE", 50)
+    rng = random.Random(4)
+    for ids in ([*range(2000), 10**17], [7] * 1000 + [*range(1000)], [None] * 1000 + [*range(1000)], [rng.randrange(10) ** 9 for _ in range(2000)]):
+        df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+        rows = ws.with_successors(df, "doc_id", "text").where("guest = 0")
+        sizes = [r["count"] for r in rows.groupBy("b").count().collect()]
+        assert sum(sizes) == len(ids) and max(sizes) <= 200
+    texts = [f"t{k}" for k in range(300)]
+    df = spark.createDataFrame([(f"key-{k:04d}", t) for k, t in enumerate(texts)], "doc_id string, text string")
+    got = {r.doc_id: r.edited_sha256 for r in ws.edited_fingerprints(df).collect()}
+    assert got == {f"key-{i:04d}": hashlib.sha256(e.encode()).hexdigest() for i, (_, _, e, _) in enumerate(plain(list(enumerate(texts))))}
+
+
 def test_no_python_on_the_way(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string").withColumn("x", F.lit(1))
     plan = ws.edited_fingerprints(df)._jdf.queryExecution().executedPlan().toString()
