@@ -55,7 +55,6 @@ def run(spark, rows):
 @pytest.mark.parametrize("block", [512, 3])
 def test_components_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(minmax_dedup, "BLOCK", block)
-    monkeypatch.setattr(minmax_dedup, "FEW", 0 if block == 3 else minmax_dedup.FEW)
     rows = list(enumerate(texts(block, 90)))
     random.Random(5).shuffle(rows)
     rows = [(i * 7 + 3, t) for i, t in rows] + [(1, None)]
