@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions.vectors import squared_distance, total, vector_sum
 from grainmill.graph import Graph
 from grainmill.operators.build import degree
 from grainmill.operators.linalg import with_ends
+from grainmill.operators.selection import within_budget
+from grainmill.plans.stored import stored
 
+#: Terms of a set that one task sums up, by the set's size.
+PORTION = 4_096
 NEIGHBOURHOOD, EDGES, TRIANGLES, CLIQUES = "neighborhood", "edges", "triangles", "cliques"
 
 
@@ -26,27 +31,49 @@ def edge_sets(graph: Graph) -> DataFrame:
     return _named(graph.edges.where("src < dst").select(F.array("src", "dst").alias("members")))
 
 
+def ranked_edges(graph: Graph) -> DataFrame:
+    """(src, dst): each edge once, towards the end of more edges (of equals the greater id); no node has many onwards."""
+    edges = graph.edges.where("src <> dst").select("src", "dst").distinct()
+    n = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    both = edges.join(n, "src").join(n.toDF("dst", "m"), "dst")
+    return both.where(F.struct("n", "src") < F.struct("m", "dst")).select("src", "dst")
+
+
 def triangles(graph: Graph) -> DataFrame:
-    """Each edge u < v with the common neighbours w > v: two joins on node keys."""
-    up = graph.edges.where("src < dst")
-    uv, uw, vw = up.select(F.col("src").alias("u"), F.col("dst").alias("v")), up.select(F.col("src").alias("u"), F.col("dst").alias("w")), up.select(F.col("src").alias("v"), F.col("dst").alias("w"))
-    return _named(uv.join(uw, "u").where("v < w").join(vw, ["v", "w"]).select(F.array("u", "v", "w").alias("members")))
+    """Each node's pairs of onward neighbours that are linked: two joins on node keys, few wedges at hubs."""
+    on = ranked_edges(graph)
+    uv, uw = on.toDF("u", "v"), on.toDF("u", "w")
+    ends = F.struct(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w"))
+    closing = on.select(F.least("src", "dst").alias("v"), F.greatest("src", "dst").alias("w"))
+    wedges = uv.join(uw, "u").where("v < w").select("u", ends.alias("e")).select("u", "e.v", "e.w")
+    return _named(wedges.join(closing, ["v", "w"]).select(F.array_sort(F.array("u", "v", "w")).alias("members")))
 
 
 def cliques(graph: Graph) -> DataFrame:
-    """All maximal cliques. Each node lists those in which it has the least id, from its neighbours' neighbour lists."""
-    lists = graph.edges.where("src <> dst").groupBy("src").agg(F.collect_set("dst").alias("own"))
-    around = graph.edges.where("src <> dst").select(F.col("src").alias("center"), F.col("dst").alias("src")).join(lists, "src").groupBy("center").agg(F.collect_list(F.struct("src", "own")).alias("near"))
+    """All maximal cliques.
+
+    Each node finds those among its onward neighbours, from their onward lists, which no hub makes long. One of
+    them is maximal unless a node before it is linked to all its members, which joins tell.
+    """
+    on = ranked_edges(graph)
+    lists = on.groupBy("src").agg(F.collect_set("dst").alias("own"))
+    around = on.toDF("center", "src").join(lists, "src", "left").groupBy("center").agg(F.collect_list(F.struct("src", F.coalesce("own", F.array().cast("array<long>")).alias("own"))).alias("near"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            centers, found = [], []
             for center, near in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                nb = {x["src"]: set(x["own"]) for x in near}
-                stack = [([center], {v for v in nb if v > center}, {v for v in nb if v < center})]
+                nb: dict[int, set] = {x["src"]: set() for x in near}
+                for x in near:
+                    for v in x["own"]:
+                        if v in nb:
+                            nb[x["src"]].add(v)
+                            nb[v].add(x["src"])
+                stack = [([center], set(nb), set())]
                 while stack:
                     chosen, may, not_again = stack.pop()
                     if not may and not not_again:
+                        centers.append(center)
                         found.append(sorted(chosen))
                         continue
                     pivot = max(may | not_again, key=lambda v: len(may & nb[v]))
@@ -54,9 +81,13 @@ def cliques(graph: Graph) -> DataFrame:
                         stack.append(([*chosen, v], may & nb[v], not_again & nb[v]))
                         may = may - {v}
                         not_again = not_again | {v}
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["members"])
+            yield pa.RecordBatch.from_arrays([pa.array(centers, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["center", "members"])
 
-    return _named(around.mapInArrow(search, "members array<long>"))
+    own = around.mapInArrow(search, "center long, members array<long>").withColumn("cand_id", F.xxhash64("members"))
+    before = own.join(on.toDF("x", "center"), "center").select("cand_id", "x", F.explode(F.array_remove("members", F.col("center"))).alias("m"), (F.size("members") - 1).alias("n"))
+    linked = on.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    hits = before.withColumns({"a": F.least("x", "m"), "b": F.greatest("x", "m")}).join(linked, ["a", "b"]).groupBy("cand_id", "x").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
+    return own.join(hits.where("hits = n").select("cand_id").distinct(), "cand_id", "left_anti").select("cand_id", "members")
 
 
 def _named(sets: DataFrame) -> DataFrame:
@@ -85,7 +116,8 @@ def costs(cands: DataFrame, graph: Graph, basis: DataFrame, size: int, x: str =
     """(cand_id, nc, cost): the norm of P' L_S P over size - 1, P the centred rows of the basis.
 
     L_S has 2 deg - d_S on its diagonal (deg doubled, d_S the degree inside), so P' L_S P is the sum over members
-    of (2 deg - d_S) p p' less the sum over inner edges of w p_i p_j'. Sets of one cost 0.
+    of (2 deg - d_S) p p' less the sum over inner edges of w p_i p_j'. The terms of a set stream past a size x size
+    matrix; a set of many terms is divided into portions, whose matrices are added up. Sets of one cost 0.
     """
     deg = degree(graph)
     member = memberships(cands).join(basis.select(F.col("id").alias("m"), F.col(x).alias("v")), "m").join(deg.select(F.col("id").alias("m"), "deg"), "m")
@@ -93,14 +125,47 @@ def costs(cands: DataFrame, graph: Graph, basis: DataFrame, size: int, x: str =
     centred = member.join(mean, "cand_id").select("cand_id", "m", "deg", "nc", F.zip_with("v", "s", lambda v, s: v - s / F.col("nc")).alias("p"))
     inner = subgraphs(cands, graph)
     d_in = inner.groupBy("cand_id", F.col("src").alias("m")).agg(F.sum("w").alias("d"))
-    pairs = [(a, b) for a in range(size) for b in range(a, size)]
-    own = centred.join(d_in, ["cand_id", "m"], "left").withColumn("f", 2 * F.col("deg") - F.coalesce("d", F.lit(0.0)))
-    diagonal = own.select("cand_id", *[(F.col("f") * F.col("p")[a] * F.col("p")[b]).alias(f"q{a}_{b}") for a, b in pairs])
-    i, j = centred.select("cand_id", F.col("m").alias("src"), F.col("p").alias("pi")), centred.select("cand_id", F.col("m").alias("dst"), F.col("p").alias("pj"))
-    cross = inner.join(i, ["cand_id", "src"]).join(j, ["cand_id", "dst"]).select("cand_id", *[(-F.col("w") * F.col("pi")[a] * F.col("pj")[b]).alias(f"q{a}_{b}") for a, b in pairs])
-    sums = diagonal.union(cross).groupBy("cand_id").agg(*[F.sum(f"q{a}_{b}").alias(f"q{a}_{b}") for a, b in pairs])
-    norm = F.sqrt(sum((F.col(f"q{a}_{b}") ** 2) * (1 if a == b else 2) for a, b in pairs))
-    return sums.join(mean.select("cand_id", "nc"), "cand_id").select("cand_id", "nc", F.when(F.col("nc") > 1, norm / (F.col("nc") - 1)).otherwise(0.0).alias("cost"))
+    own = centred.join(d_in, ["cand_id", "m"], "left").select("cand_id", "nc", "m", (2 * F.col("deg") - F.coalesce("d", F.lit(0.0))).alias("f"), F.col("p").alias("a"), F.col("p").alias("b"))
+    i, j = centred.select("cand_id", "nc", F.col("m").alias("src"), F.col("p").alias("a")), centred.select("cand_id", F.col("m").alias("dst"), F.col("p").alias("b"))
+    cross = inner.join(i, ["cand_id", "src"]).join(j, ["cand_id", "dst"]).select("cand_id", "nc", F.col("src").alias("m"), (-F.col("w")).alias("f"), "a", "b")
+    portions = F.ceil(F.col("nc") / PORTION)
+    terms = own.union(cross).select("cand_id", "nc", F.pmod(F.xxhash64("m"), portions).alias("portion"), "f", "a", "b")
+    dealt = terms.repartition("cand_id", "portion").sortWithinPartitions("cand_id", "portion")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, q = None, None
+
+        def out(done: list[tuple]) -> pa.RecordBatch:
+            whole = [d[0][1] <= PORTION for d in done]  # sets of one portion
+            norm = [float(np.linalg.norm(d[1])) if w else None for d, w in zip(done, whole)]
+            parts = [None if w else d[1].tolist() for d, w in zip(done, whole)]
+            return pa.RecordBatch.from_arrays([pa.array([d[0][0] for d in done], pa.int64()), pa.array([d[0][1] for d in done], pa.int32()), pa.array(norm, pa.float64()), pa.array(parts, pa.list_(pa.float64()))], names=["cand_id", "nc", "norm", "q"])
+
+        for batch in batches:
+            done = []
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                ids, nc, portion, f = (part.column(k).to_numpy() for k in range(4))
+                a, b = (part.column(k).flatten().to_numpy().reshape(len(ids), -1) for k in (4, 5))
+                first = np.append(0, np.flatnonzero((np.diff(ids) != 0) | (np.diff(portion) != 0)) + 1)
+                sums = np.add.reduceat(((f[:, None] * a)[:, :, None] * b[:, None, :]).reshape(len(ids), -1), first)
+                for k, s in zip(first.tolist(), sums):
+                    key = (int(ids[k]), int(nc[k]), int(portion[k]))
+                    if key == now:
+                        q = q + s
+                    else:
+                        if now is not None:
+                            done.append((now, q))
+                        now, q = key, s
+            if done:
+                yield out(done)
+        if now is not None:
+            yield out([(now, q)])
+
+    parts = dealt.mapInArrow(run, "cand_id long, nc int, norm double, q array<double>")
+    summed = parts.where("q IS NOT NULL").select("cand_id", "nc", F.posexplode("q").alias("k", "v")).groupBy("cand_id", "nc", "k").agg(F.sum("v").alias("v"))
+    norms = parts.where("q IS NULL").select("cand_id", "nc", "norm").union(summed.groupBy("cand_id", "nc").agg(F.sqrt(F.sum(F.col("v") ** 2))))
+    return norms.select("cand_id", "nc", F.when(F.col("nc") > 1, F.col("norm") / (F.col("nc") - 1)).otherwise(0.0).alias("cost"))
 
 
 def similarities(cands: DataFrame, dense: DataFrame, size: int, x: str = "x") -> DataFrame:
@@ -126,46 +191,17 @@ def choose(ranked: Iterable[tuple[int, list[int]]], budget: int) -> list[int]:
     return out
 
 
-def greedy(cands: DataFrame, cost: DataFrame, sim: DataFrame | None, budget: int, threshold: float, rounds: int = 60) -> DataFrame:
+def greedy(cands: DataFrame, cost: DataFrame, sim: DataFrame | None, budget: int, threshold: float) -> DataFrame:
     """The accepted sets (cand_id, members) in the order of (cost to 9 decimals, cand_id).
 
-    Sets that are alike enough and small enough take part. In each round a set that comes first among all
-    undecided sets around each of its members is accepted, and what meets it is dropped; that gives what going
-    through them one by one gives, as long as the budget lasts. From the first accepted set that would exceed it
-    on, the rest (by then few) are gone through in order on the driver.
+    Sets that are alike enough and small enough take part; ``choose`` tells the rule, ``selection`` carries it out.
     """
-    from grainmill.plans.stored import stored
-
-    spark = cands.sparkSession
     rank = F.struct(F.round("cost", 9).alias("c"), F.col("cand_id").alias("i"))
     live = cands.join(cost, "cand_id").where(F.size("members").between(2, budget + 1))
     if sim is not None:
         live = live.join(sim.where(F.col("sim") > threshold), "cand_id", "left_semi")
-    every = live = stored(live.select("cand_id", "members", rank.alias("rank")))
-    accepted = None
-    for _ in range(rounds):
-        own = live.select("cand_id", "rank", F.explode("members").alias("m"))
-        first = own.groupBy("m").agg(F.min("rank").alias("first"))
-        wins = own.join(first, "m").groupBy("cand_id").agg(F.min((F.col("rank") == F.col("first")).cast("int")).alias("w")).where("w = 1").select("cand_id")
-        new = stored(live.join(wins, "cand_id", "left_semi"))
-        accepted = new if accepted is None else accepted.union(new)
-        taken = new.select(F.explode("members").alias("m")).distinct()
-        hit = own.join(taken, "m", "left_semi").select("cand_id").distinct()
-        live = stored(live.join(hit, "cand_id", "left_anti"))
-        if live.isEmpty():
-            break
-    else:
-        raise RuntimeError("the choice has not settled")
-    total_removed = accepted.agg(F.sum(F.size("members") - 1)).first()[0] or 0
-    if total_removed <= budget:
-        return accepted.select("cand_id", "members")
-    ordered = every.orderBy("rank").select("cand_id", "members")
-    chosen = choose(((r.cand_id, r.members) for r in ordered.toLocalIterator()), budget)
-    return every.join(F.broadcast(_ids(spark, chosen)), "cand_id", "left_semi").select("cand_id", "members")
-
-
-def _ids(spark: SparkSession, ids: list[int]) -> DataFrame:
-    return spark.createDataFrame([(i,) for i in ids], "cand_id long")
+    ranked = stored(live.select(F.col("cand_id").alias("key"), "members", rank.alias("rank")))
+    return within_budget(ranked, budget).select(F.col("key").alias("cand_id"), "members")
 
 
 def variation_edge_costs(graph: Graph, basis: DataFrame, x: str = "a") -> DataFrame:

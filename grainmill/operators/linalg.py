@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.vectors import squared_distance, total, vector_sum
 from grainmill.graph import Graph
+from grainmill.operators.batches import summed
 from grainmill.operators.build import degree, remove_self_loops
 
 
@@ -46,21 +47,17 @@ def quadratic_form(graph: Graph, dense: DataFrame, size: int, x: str = "x") -> D
 
 
 def gram(graph: Graph, dense: DataFrame, size: int, x: str = "x") -> np.ndarray:
-    """x' L x as a small matrix on the driver; summed over edges on the executors."""
+    """x' L x as a small matrix on the driver; summed over edges on the executors, batch by batch."""
     ends = with_ends(graph.edges.where("src < dst"), dense, x).select("w", F.zip_with(f"{x}_i", f"{x}_j", lambda a, b: a - b).alias("d"))
-    pairs = [(a, b) for a in range(size) for b in range(a, size)]
-    row = ends.agg(*[F.sum(F.col("w") * F.col("d")[a] * F.col("d")[b]) for a, b in pairs]).first()
-    out = np.zeros((size, size))
-    for (a, b), v in zip(pairs, row):
-        out[a, b] = out[b, a] = v or 0.0
-    return out
+    found = summed(ends, lambda w, d: {"q": (d * w[:, None]).T @ d}).get("q")
+    return np.zeros((size, size)) if found is None else found.reshape(size, size)
 
 
 def inner(dense: DataFrame, other: DataFrame, size: int, x: str = "x") -> np.ndarray:
     """dense' other, size x size, on the driver."""
-    both = dense.select("id", F.col(x).alias("_a")).join(other.select("id", F.col(x).alias("_b")), "id")
-    row = both.agg(*[F.sum(F.col("_a")[a] * F.col("_b")[b]) for a in range(size) for b in range(size)]).first()
-    return np.array([v or 0.0 for v in row]).reshape(size, size)
+    both = dense.select("id", F.col(x).alias("_a")).join(other.select("id", F.col(x).alias("_b")), "id").select("_a", "_b")
+    found = summed(both, lambda a, b: {"q": a.T @ b}).get("q")
+    return np.zeros((size, size)) if found is None else found.reshape(size, size)
 
 
 def times_small(dense: DataFrame, matrix: np.ndarray, x: str = "x") -> DataFrame:

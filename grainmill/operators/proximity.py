@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,8 @@ from grainmill.functions.vectors import dot, pseudo_random
 from grainmill.graph import Graph
 from grainmill.operators.build import degree
 from grainmill.operators.linalg import edge_distances, laplacian_spmm, quadratic_form, with_ends
+from grainmill.operators.selection import first_come, first_rows
+from grainmill.plans.stored import discard, stored, stored_edges
 
 
 def start_vectors(nodes: DataFrame, size: int) -> DataFrame:
@@ -22,16 +23,17 @@ def start_vectors(nodes: DataFrame, size: int) -> DataFrame:
 
 def jacobi_vectors(graph: Graph, size: int, iterations: int = 20, start: DataFrame | None = None) -> DataFrame:
     """x <- x - L x / (2 D), D the doubled degree; nodes without edges stay as they are."""
-    from grainmill.plans.stored import stored, stored_edges
-
     x = start_vectors(graph.nodes, size) if start is None else start
     graph = stored_edges(graph)
-    deg = stored(degree(graph))
+    deg, kept = stored(degree(graph)), None
     for i in range(iterations):
         moved = laplacian_spmm(graph, x, size).withColumnRenamed("x", "_l")
         x = x.join(moved, "id").join(deg, "id").select("id", F.when(F.col("deg") > 0, F.zip_with("x", "_l", lambda v, l: v - l / (2 * F.col("deg")))).otherwise(F.col("x")).alias("x"))
         if i % 5 == 4:
-            x = stored(x)
+            new = stored(x)
+            if kept is not None:
+                discard(kept)
+            x = kept = new
     return x
 
 
@@ -41,32 +43,43 @@ def gauss_seidel_vectors(graph: Graph, size: int, start: DataFrame | None = None
     The recurrence runs along increasing ids, so nodes are worked out level by level: a node is ready when all
     its lesser neighbours are. The number of rounds is the longest increasing path.
     """
-    from grainmill.plans.stored import stored, stored_edges
-
     graph = stored_edges(graph)
     old = stored(start_vectors(graph.nodes, size) if start is None else start)
     deg = stored(degree(graph, "row"))
     edges = graph.edges.where("src <> dst")
-    todo, done = stored(deg.where("deg > 0").select("id")), None
+    todo, parts_done = stored(deg.where("deg > 0").select("id")), []
     zero = F.transform("x", lambda v: F.lit(0.0))
     still = stored(old.join(deg.where("deg = 0"), "id", "left_semi").select("id", zero.alias("x")))
     parts = [F.sum(F.col("_v")[k] * F.col("w")) for k in range(size)]
     while not todo.isEmpty():
+        done = _union(parts_done) if parts_done else None
         waits = edges.where("dst < src").join(todo.toDF("dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
         ready = todo.join(waits, "id", "left_anti")
         own = edges.join(ready.toDF("src"), "src", "left_semi")
         late = own.where("dst > src").join(old.select(F.col("id").alias("dst"), F.col("x").alias("_v")), "dst")
         terms = late if done is None else late.union(own.where("dst < src").join(done.select(F.col("id").alias("dst"), F.col("x").alias("_v")), "dst"))
-        new = terms.groupBy(F.col("src").alias("id")).agg(F.array(*parts).alias("_s")).join(deg, "id").select("id", F.transform("_s", lambda v: v / F.col("deg")).alias("x"))
-        done = stored(new if done is None else done.union(new))
-        todo = stored(todo.join(done.select("id"), "id", "left_anti"))
-    return still if done is None else done.union(still)
+        new = stored(terms.groupBy(F.col("src").alias("id")).agg(F.array(*parts).alias("_s")).join(deg, "id").select("id", F.transform("_s", lambda v: v / F.col("deg")).alias("x")))
+        rest = stored(todo.join(new.select("id"), "id", "left_anti"))
+        discard(todo)
+        todo = rest
+        parts_done.append(new)
+        if len(parts_done) > 16:  # so that the union stays short; each row is written again once in 16 rounds
+            whole = stored(_union(parts_done))
+            for part in parts_done:
+                discard(part)
+            parts_done = [whole]
+    return still if not parts_done else _union(parts_done).union(still)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def chebyshev_vectors(graph: Graph, size: int, cut: float, order: int = 50, start: DataFrame | None = None) -> DataFrame:
     """Start vectors through a polynomial low-pass of the Laplacian: 1 up to ``cut``, 0 above; Jackson damping."""
-    from grainmill.plans.stored import stored, stored_edges
-
     graph = stored_edges(graph)
     top = 2.0 * (degree(graph, "row").agg(F.max("deg")).first()[0] or 0.0)
     x = start_vectors(graph.nodes, size) if start is None else start
@@ -85,10 +98,13 @@ def chebyshev_vectors(graph: Graph, size: int, cut: float, order: int = 50, star
         return a.join(b.select("id", F.col("x").alias("_b")), "id").select("id", F.zip_with("x", "_b", lambda u, v: u * p + v * q).alias("x"))
 
     before, now = x, stored(shifted(x))
-    out = blend(before, c[0], now, c[1])
+    out = stored(blend(before, c[0], now, c[1]))
     for k in range(2, order + 1):
-        before, now = now, stored(blend(shifted(now), 2.0, before, -1.0))
-        out = stored(blend(out, 1.0, now, c[k]))
+        new = stored(blend(shifted(now), 2.0, before, -1.0))
+        more = stored(blend(out, 1.0, new, c[k]))
+        for used in (out, before) if k > 2 else (out,):  # the first belongs to the caller
+            discard(used)
+        before, now, out = now, new, more
     return out
 
 
@@ -182,28 +198,17 @@ def proximity(graph: Graph, name: str, size: int = 10) -> DataFrame:
     raise ValueError(f"no proximity {name!r}")
 
 
-def matching_greedy(weights: DataFrame, budget: int, similar: DataFrame | None = None, threshold: float = 0.5, rounds: int = 60) -> DataFrame:
+def matching_greedy(weights: DataFrame, budget: int, similar: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """(i, j): edges (src, dst, val) in descending val, then by ids; an edge goes in if both ends are free.
 
     similar: (src, dst, sim) that must exceed the threshold. At most ``budget`` pairs, the first in that order.
-    Edges that come first at both their ends are taken in rounds, which gives what one pass in order gives.
     """
-    from grainmill.plans.stored import stored
-
     live = weights.where("src <> dst").select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"), F.round("val", 9).alias("val"))
+    live = live.groupBy("i", "j").agg(F.max("val").alias("val"))
     if similar is not None:
         live = live.join(similar.where(F.col("sim") > threshold).select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")), ["i", "j"], "left_semi")
-    live, taken = stored(live.withColumn("rank", F.struct((-F.col("val")).alias("v"), "i", "j"))), None
-    for _ in range(rounds):
-        first = live.select(F.explode(F.array("i", "j")).alias("n"), "rank").groupBy("n").agg(F.min("rank").alias("first"))
-        a, b = first.toDF("i", "first_i"), first.toDF("j", "first_j")
-        new = stored(live.join(a, "i").join(b, "j").where("rank = first_i AND rank = first_j").select("i", "j", "val", "rank"))
-        taken = new if taken is None else taken.union(new)
-        used = new.select(F.explode(F.array("i", "j")).alias("n"))
-        live = stored(live.join(used.toDF("i"), "i", "left_anti").join(used.toDF("j"), "j", "left_anti"))
-        if live.isEmpty():
-            return taken.orderBy("rank").limit(budget).select("i", "j")
-    raise RuntimeError("the matching has not settled")
+    ranked = live.select(F.struct("i", "j").alias("key"), F.array("i", "j").alias("members"), F.struct((-F.col("val")).alias("v"), "i", "j").alias("rank"))
+    return first_rows(first_come(ranked), budget).select("key.i", "key.j")
 
 
 def heaviest(weights: DataFrame, keep: int) -> DataFrame:
@@ -232,8 +237,3 @@ def matching_optimal(weights: DataFrame, budget: int) -> DataFrame:
         return pa.table({"i": pa.array([p[0] for p in pairs], pa.int64()), "j": pa.array([p[1] for p in pairs], pa.int64()), "val": pa.array([of[p] for p in pairs], pa.float64())})
 
     return grouped.groupBy("component").applyInArrow(match, "i long, j long, val double").orderBy(F.round("val", 9), "i", "j").limit(budget).select("i", "j")
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns))

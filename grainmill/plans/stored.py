@@ -17,7 +17,9 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written under ``spark.checkpoint.dir`` and read back, which ends its lineage; files go with the driver."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:  # a local session that names none
+    if not folder:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         folder = "file://" + tempfile.mkdtemp(prefix="grainmill-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/grainmill/{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.graph import Graph
-from grainmill.operators import algebra, build, candidates, frames, linalg, proximity, sage
+from grainmill.operators import algebra, build, candidates, frames, linalg, proximity, sage, selection
 from grainmill.plans import multilevel, spectral, training
 from grainmill.sources import graphs
 
@@ -108,19 +108,19 @@ def test_families_costs_and_similarity(g):
     tri = {tuple(r.members) for r in candidates.triangles(g).collect()}
     assert tri == {(a, b, c) for a in range(N) for b in range(a + 1, N) for c in range(b + 1, N) if w[a, b] and w[b, c] and w[a, c]}
     found = {tuple(r.members) for r in candidates.cliques(g).collect()}
-    cliques = set()
     for mask in found:
         assert all(w[a, b] for a in mask for b in mask if a < b) and not any(all(w[v, a] for a in mask) for v in range(N) if v not in mask)
     for a, b, _ in PAIRS:
-        cliques.add((a, b))
         assert any({a, b} <= set(m) for m in found)
     edge = {(r.src, r.dst): r.cost for r in candidates.variation_edge_costs(g, g.nodes.withColumnRenamed("x", "a")).collect()}
     deg = 2 * w.sum(1)
     assert all(np.isclose(v, (deg[i] + deg[j]) / 2 * ((x[i] - x[j]) ** 2).sum()) for (i, j), v in edge.items())
 
 
-@pytest.mark.parametrize("budget", [2, 5, 100])
-def test_greedy_equals_one_by_one(spark, budget):
+@pytest.mark.parametrize("small", [0, 10**6])
+@pytest.mark.parametrize("budget", [2, 5, 17, 100])
+def test_greedy_equals_one_by_one(spark, monkeypatch, budget, small):
+    monkeypatch.setattr(selection, "SMALL", small)
     rng = random.Random(budget)
     sets = [(k, sorted(rng.sample(range(40), rng.randint(1, 5)))) for k in range(60)]
     cost = [(k, round(rng.random(), 1)) for k, _ in sets]
@@ -130,6 +130,42 @@ def test_greedy_equals_one_by_one(spark, budget):
     assert {r.cand_id for r in candidates.greedy(cands, costs, None, budget, 0.5).collect()} == set(want)
 
 
+@pytest.mark.parametrize("rising", [False, True])
+def test_long_chains_settle(spark, rising):
+    n = 10_000
+    edges = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), (F.col("id") if rising else F.lit(0)).cast("double").alias("val"))
+    got = {(r.i, r.j) for r in proximity.matching_greedy(edges, n).collect()}
+    assert got == {(i, i + 1) for i in (range(n - 1, -1, -2) if rising else range(0, n, 2))}
+    assert proximity.matching_greedy(edges, 100).count() == 100
+
+
+def test_running_sums_in_ranges(spark):
+    rng = random.Random(3)
+    rows = [(float(rng.randrange(5)), k, rng.randint(1, 9)) for k in range(900)]
+    df = spark.createDataFrame(rows, "c double, i long, size long").select(F.struct("c", "i").alias("rank"), "size")
+    for budget in (0, 1, 700, 2500, 10**6):
+        want, total = None, 0
+        for c, i, size in sorted(rows):
+            if total + size > budget:
+                want = ((c, i), total)
+                break
+            total += size
+        for most in (10, 10**6):
+            got = selection.first_over(df, budget, most)
+            assert (got is None) == (want is None)
+            if got:
+                assert tuple(df.limit(1).select(got[0].alias("r")).first().r) == want[0] and got[1] == want[1]
+
+
+def test_costs_of_large_sets_in_portions(g, monkeypatch):
+    nb = candidates.neighbourhoods(g)
+    a = g.nodes.withColumnRenamed("x", "a")
+    want = {r.cand_id: r.cost for r in candidates.costs(nb, g, a, 3).collect()}
+    monkeypatch.setattr(candidates, "PORTION", 2)
+    got = {r.cand_id: r.cost for r in candidates.costs(nb, g, a, 3).collect()}
+    assert want.keys() == got.keys() and all(np.isclose(got[k], v) for k, v in want.items())
+
+
 def test_greedy_matching_equals_one_by_one(g):
     weights = proximity.heavy_edge_degree(g)
     rows = sorted(((-r.val, r.src, r.dst) for r in weights.collect()))
@@ -163,14 +199,39 @@ def test_smoothed_vectors(g):
         assert proximity.proximity(g, name, 3).count() == len(PAIRS)
 
 
-def test_spectral_basis(g, monkeypatch):
+@pytest.mark.parametrize("hub", [False, True])
+def test_iterated_spectrum_equals_the_dense_one(spark, monkeypatch, hub):
+    pairs = PAIRS + [(0, j, 1) for j in range(1, N - 1) if hub and not any(p[:2] == (0, j) for p in PAIRS)]
+    pairs += [(N + i, N + j, 1) for i, j in ((0, 1), (1, 2), (0, 2))]  # a second component
+    n = N + 3
+    own = graph(spark, n, pairs)
+    lap = matrix(build.laplacian(own), n)
+    values = np.linalg.eigvalsh(lap)
+    null = int((values < 1e-9).sum())
+    assert null == 3
+    monkeypatch.setattr(spectral, "DENSE_NODES", 1)
+    for size in (2, 6):
+        vectors, got = spectral.smallest_eigenpairs(own, size)
+        assert np.allclose(got, values[:size], atol=1e-6 * values.max()) and (got[:null] == 0).all()
+        x = dense(vectors)
+        assert np.allclose(x.T @ x, np.eye(size), atol=1e-6)
+        assert np.linalg.norm(lap @ x - x * got, axis=0).max() <= 1e-6 * 2 * np.diag(lap).max()
+    b = dense(spectral.basis(own, 6), "b")
+    assert np.allclose(b.T @ lap @ b, np.diag([1, 1, 1, 0, 0, 0]), atol=1e-6)
+
+
+def test_iterated_spectrum_fails_loudly(g, monkeypatch):
+    monkeypatch.setattr(spectral, "DENSE_NODES", 1)
+    monkeypatch.setattr(spectral, "MOST_ROUNDS", 2)
+    monkeypatch.setattr(spectral, "TOLERANCE", 1e-12)
+    with pytest.raises(RuntimeError, match="not found after"):
+        spectral.smallest_eigenpairs(g, 4)
+
+
+def test_spectral_basis(g):
     lap = matrix(build.laplacian(g), N)
     values = np.linalg.eigvalsh(lap)
-    for limit, tol in ((4096, 1e-9), (1, 2e-2)):
-        monkeypatch.setattr(spectral, "DENSE_NODES", limit)
-        vectors, got = spectral.smallest_eigenpairs(g, 4, rounds=4)
-        assert np.allclose(got, values[:4], atol=tol * values.max())
-    monkeypatch.setattr(spectral, "DENSE_NODES", 4096)
+    assert np.allclose(spectral.smallest_eigenpairs(g, 4)[1], values[:4])
     b = dense(spectral.basis(g, 4), "b")
     gram = b.T @ lap @ b
     assert np.allclose(gram, np.diag(np.round(np.diag(gram)))) and np.isclose(np.trace(gram), (values[:4] > 1e-9).sum())
@@ -267,11 +328,3 @@ def test_coarsen_and_train(spark, tmp_path):
 def test_dropout_mask():
     mask = sage.kept(np.arange(2000), 5, 0.3)
     assert abs(mask.mean() - 1) < 0.05 and set(np.unique(mask.round(6))) == {0.0, round(1 / 0.7, 6)}
-
-
-def test_iterated_spectrum_fails_loudly(g, monkeypatch):
-    monkeypatch.setattr(spectral, "DENSE_NODES", 1)
-    monkeypatch.setattr(spectral, "MOST_ROUNDS", 1)
-    monkeypatch.setattr(spectral, "TOLERANCE", 1e-9)
-    with pytest.raises(RuntimeError, match="not found after"):
-        spectral.smallest_eigenpairs(g, 4, rounds=1, degree_of_filter=2)
