@@ -20,7 +20,6 @@ import pandas as pd
 import regex
 
 NONE = np.int32(2**30)
-PAD = 65_535
 #: Marks a chunk that starts a text; chunks that are looked up hold no blank.
 HEAD = " "
 WIDTHS = (*range(2, 17), 20, 24, 32, 48, 64, 96, 128, 192, 256)
@@ -36,12 +35,16 @@ class MergeTable:
         self.token_bytes = token_bytes
         self.special = special or {}
         self.id_of = {b: i for i, b in enumerate(token_bytes) if b}
-        self.byte_ids = np.array([self.id_of.get(bytes([b]), PAD) for b in range(256)], dtype=np.int32)
+        self.pad = len(token_bytes)  # no token's id
+        self.byte_ids = np.array([self.id_of.get(bytes([b]), self.pad) for b in range(256)], dtype=np.int32)
         left, right, rank, merged = pairs.T
         self.pair_rank = dict(zip(zip(left.tolist(), right.tolist()), zip(rank.tolist(), merged.tolist())))
         self.merged_of_rank = np.zeros(int(rank.max()) + 1 if len(rank) else 1, dtype=np.int32)
         self.merged_of_rank[rank] = merged
-        self._build(left.astype(np.uint64) * np.uint64(65_536) + right.astype(np.uint64), rank.astype(np.int32))
+        self._build(self._keys(left, right), rank.astype(np.int32))
+
+    def _keys(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left.astype(np.uint64) * np.uint64(self.pad + 1) + right.astype(np.uint64)
 
     def _build(self, keys: np.ndarray, ranks: np.ndarray) -> None:
         self.bits = max(8, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
@@ -64,7 +67,7 @@ class MergeTable:
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, ``NONE`` where the pair does not merge."""
         shape = left.shape
-        keys = (left.astype(np.uint64) * np.uint64(65_536) + right.astype(np.uint64)).ravel()
+        keys = self._keys(left, right).ravel()
         at = self._slot(keys)
         found = self.slot_key[at]
         out = np.where(found == keys, self.slot_rank[at], NONE)
@@ -124,7 +127,7 @@ class MergeTable:
         if (n != width).any():
             own = [p.ljust(width, b"\0") for p in own]
         ids = self.byte_ids[np.frombuffer(b"".join(own), dtype=np.uint8).reshape(len(rows), width)]
-        ids[np.arange(width) >= n[:, None]] = PAD
+        ids[np.arange(width) >= n[:, None]] = self.pad
         rank = self.ranks(ids[:, :-1], ids[:, 1:])
         while True:
             at = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(rows), dtype=np.int64)

@@ -6,9 +6,9 @@ the language with the least sum of out-of-place distances wins; an n-gram that a
 place by the profile's size. Ties go to the lesser language name.
 
 Profiles are fitted on a bounded sample: about ``per_language`` rows of each language, by a hash of the id;
-of more than ``most_languages`` languages the most frequent are learned. Null text, or text without a
+more than ``most_languages`` languages, which no model of bounded size could hold, are an error. Null text, or text without a
 letter, is ``und`` with score 0, and so is everything if nothing could be learned. Null ids and repeated
-rows pass through row by row; other columns are not read.
+rows pass through row by row, texts of any length are read whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,7 +89,9 @@ class Profiles:
 def fit(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, most_languages: int = 500, profile_size: int = 400, longest: int = 4) -> Profiles:
     """Learns profiles from rows of ``docs`` for which ``may_learn`` holds."""
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"{lang_col} has more than {most_languages} values")
     if not sizes:
         return Profiles({}, profile_size, longest)
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, per_language / n))])

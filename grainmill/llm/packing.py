@@ -5,7 +5,8 @@ a sequence. Pieces then go, in id order, to the open sequence with the least fre
 Open sequences stand in lists by free space, with a bitset of the spaces that have any; when there would
 be more than ``open_bins``, the fullest closes.
 
-Null text counts as empty and is one piece with only the end id. Repeated rows are packed each for itself.
+Null text counts as empty and is one piece with only the end id. Texts of any length are packed whole. Rows with a null id
+come first; pieces of equal id and place, as of repeated rows, are packed each for itself, in the order of their checksums.
 An empty table gives an empty result. Other columns are not read.
 """
 

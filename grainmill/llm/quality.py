@@ -6,10 +6,10 @@ makes an embedding of that. Gated attention, a = softmax(w . (tanh(V h) * sigmoi
 embeddings of a document's passages, and a logistic layer scores their weighted mean. All layers are
 learned together from document labels alone, by Adam on exact gradients.
 
-Fitted on a bounded sample of ``sample_rows`` labelled rows (by a hash of the id), and of these on at most
-``sample_passages`` passages each, evenly spaced; scoring reads every passage of every text. Null or empty
+Fitted on a bounded sample of labelled rows, in the order of a hash of the id: ``sample_rows`` at most, and as many as
+have ``sample_passages`` passages together; each is read whole. Scoring reads every passage of every text. Null or empty
 text is one passage of zeros. If fewer than two labels were seen, all scores are the share of label 1.
-Null ids and repeated rows pass through; null labels are not learned from; other columns are not read.
+Null ids and repeated rows pass through; a row with several labels counts once for each; null labels are not learned from; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from grainmill.llm.common import lean
 from grainmill.llm.shingles import word_bounds, word_hashes
@@ -141,14 +142,17 @@ def train(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, hidden: int = 24, gat
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 5_000, sample_passages: int = 32) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 5_000, sample_passages: int = 150_000) -> Model:
     """Learns from labelled rows for which ``may_learn`` holds. The sample's passages, bounded by both limits, come to the driver."""
     sample = labelled_sample(docs, labels, label_col, may_learn, id_col, text_col, sample_rows)
+    sizes = sample.select("draw", F.greatest(F.ceil(F.octet_length("text") / PASSAGE), F.lit(1)).alias("n")).orderBy("draw").toArrow()  # of the sample only
+    draws, total = sizes.column("draw").to_numpy(), np.cumsum(sizes.column("n").to_numpy())
+    if len(total) and total[-1] > sample_passages:
+        sample = sample.where(F.col("draw") < int(draws[np.searchsorted(total, sample_passages, side="right")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bags = [encode(x) for x in b.column(2).to_pylist()]
-            bags = [x if len(x) <= sample_passages else x[np.linspace(0, len(x) - 1, sample_passages).astype(int)] for x in bags]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in bags], pa.int32()), pa.array([x.astype(np.float16).tobytes() for x in bags], pa.binary())], names=["draw", "label", "n", "x"])
 
     own = sample.select("draw", "label", "text").mapInArrow(lean(run), "draw long, label int, n int, x binary").toPandas().sort_values("draw", kind="stable")

@@ -5,7 +5,7 @@ with the last token of the prefix before t; two tokens go together if byte-pair
 bytes gives back just the two. So one pass over a piece's bytes gives the token count of all its
 prefixes, and counts of longer texts add up over pieces.
 
-Null text counts as empty: 0 bytes, 0 tokens. Null ids, ties and repeated rows pass through row by row;
+Counts of whole texts of any length take one pass. Null text counts as empty: 0 bytes, 0 tokens. Null ids, ties and repeated rows pass through row by row;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -30,7 +30,7 @@ class PrefixCounter:
         self.encoder = TextEncoder(pattern, self.totals, sum, table.special)
 
     def goes_together(self, left: int, right: int) -> bool:
-        key = left << 16 | right
+        key = left * (self.table.pad + 1) + right
         found = self.together.get(key)
         if found is None:
             t = self.table

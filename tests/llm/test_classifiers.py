@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from grainmill.llm import language, quality, toxicity
@@ -169,6 +170,61 @@ def test_languages(spark):
     assert language.identify(docs.limit(0), profiles).count() == 0
 
 
+def test_profiles_and_predictions_equal_a_plain_version(spark):
+    docs, _, n = corpus(spark)
+    profiles = language.fit(docs, F.lit(True), profile_size=50, longest=3)
+    counts = {}
+    rows = [r for r in docs.collect() if r.lang is not None and r.text is not None and r.doc_id is not None]
+    for r in rows:
+        own = counts.setdefault(r.lang, {})
+        for w in "".join(c if c.isalpha() else " " for c in r.text.lower()).split():
+            w = f" {w} "
+            for g in [w[i : i + k] for k in (1, 2, 3) for i in range(len(w) - k + 1)]:
+                if g != " ":
+                    own[g] = own.get(g, 0) + 1
+    ranked = {lang: sorted(own, key=lambda g: (-own[g], g))[:50] for lang, own in counts.items()}
+    assert profiles.ranked == ranked
+    known = {g for v in ranked.values() for g in v}
+    for text in [r.text for r in rows[:60]]:
+        own = {}
+        for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            w = f" {w} "
+            for g in [w[i : i + k] for k in (1, 2, 3) for i in range(len(w) - k + 1)]:
+                if g in known:
+                    own[g] = own.get(g, 0) + 1
+        top = sorted(own, key=lambda g: (-own[g], g))[:50]
+        away = {lang: sum(abs(v.index(g) - i) if g in v else 50 for i, g in enumerate(top)) for lang, v in ranked.items()}
+        best = min(sorted(away), key=away.get)
+        assert profiles.predict(text) == (best, 1 - away[best] / (50 * len(top)))
+    with pytest.raises(ValueError):
+        language.fit(docs, F.lit(True), most_languages=2)
+
+
+def test_passages_and_attention_equal_a_plain_version():
+    text = "Ab, cd cd!\n" * 120 + "é 12"
+    raw = text.encode()
+    got = quality.encode(text)
+    assert got.shape == (-(-len(raw) // quality.PASSAGE), quality.DIM)
+    kind = quality._classes()
+    for p in range(len(got)):
+        pairs = np.zeros((quality.CLASSES, quality.CLASSES))
+        for i in range(p * quality.PASSAGE, min((p + 1) * quality.PASSAGE, len(raw) - 1)):
+            pairs[kind[raw[i]], kind[raw[i + 1]]] += 1
+        assert np.allclose(got[p, : quality.CLASSES**2], np.sqrt(pairs / pairs.sum()).ravel(), atol=1e-6)
+    model = quality.train(np.vstack([got, got]), np.array([len(got)] * 2), np.array([1.0, 0.0]), epochs=2)
+    w, f = model.weights, model.forward(got, np.array([0]))
+    h = [np.tanh(x @ w["E"] + w["e"]) for x in got]
+    e = np.array([math.exp(((np.tanh(x @ w["V"])) / (1 + np.exp(-(x @ w["U"])))) @ w["w"]) for x in h])
+    z = sum(a * x for a, x in zip(e / e.sum(), h))
+    assert np.allclose(f["p"], 1 / (1 + np.exp(-(z @ w["c"] + w["b"]))))
+
+
+def test_sample_is_bounded_by_whole_documents(spark):
+    docs, labels, _ = corpus(spark)
+    few, none = (quality.fit(docs, labels, F.lit(True), sample_passages=k) for k in (30, 0))
+    assert few.share is None and none.share == 0.0
+
+
 def test_out_of_place_distance():
     profiles = language.Profiles({"a": ["x", "y", "z"], "b": ["z", "q"]}, 3, 1)
     # the text's own ranks: z 0, x 1; from a: |2-0| + |0-1| = 3, from b: |0-0| + 3 = 3; a tie goes to a
