@@ -15,8 +15,9 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
 
-    def with_nodes(self, nodes: DataFrame) -> Graph:
-        return Graph(nodes, self.edges)
+    def with_positions(self, pos: DataFrame) -> Graph:
+        """The graph with coordinates (id, pos) of its nodes; null where there are none."""
+        return Graph(self.nodes.drop("pos").join(pos.select("id", "pos"), "id", "left"), self.edges)
 
     def with_edges(self, edges: DataFrame) -> Graph:
         return Graph(self.nodes, edges)

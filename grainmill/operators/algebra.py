@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.functions.vectors import normalised, scaled, vector_sum
+from grainmill.functions.vectors import normalised, vector_sum
 from grainmill.graph import Graph
 from grainmill.operators.build import dense_index
 
@@ -101,14 +101,6 @@ def train_mask(assign: DataFrame, splits: DataFrame) -> DataFrame:
     return own.groupBy(F.col("coarse_id").alias("id")).agg(F.max("t").alias("is_train"))
 
 
-def coarse_edges_and_features(graph: Graph, assign: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    return coarsen_edges(graph.edges, assign).select("src", "dst"), coarsen_dense(graph.nodes, assign, size)
-
-
 def sets_of(pairs: DataFrame) -> DataFrame:
     """Matched pairs (i, j) as two-member sets."""
     return pairs.select(F.array(F.least("i", "j"), F.greatest("i", "j")).alias("members"))
-
-
-def scaled_by(dense: DataFrame, by: float, x: str = "x") -> DataFrame:
-    return dense.select("id", scaled(F.col(x), F.lit(by)).alias(x))

@@ -13,6 +13,7 @@ from grainmill.functions.vectors import dot, pseudo_random
 from grainmill.graph import Graph
 from grainmill.operators.build import degree
 from grainmill.operators.linalg import edge_distances, laplacian_spmm, quadratic_form, with_ends
+from grainmill.operators.matching import certificate, max_weight_matching
 from grainmill.operators.selection import first_come, first_rows
 from grainmill.plans.stored import discard, stored, stored_edges
 
@@ -26,14 +27,12 @@ def jacobi_vectors(graph: Graph, size: int, iterations: int = 20, start: DataFra
     x = start_vectors(graph.nodes, size) if start is None else start
     graph = stored_edges(graph)
     deg, kept = stored(degree(graph)), None
-    for i in range(iterations):
-        moved = laplacian_spmm(graph, x, size).withColumnRenamed("x", "_l")
-        x = x.join(moved, "id").join(deg, "id").select("id", F.when(F.col("deg") > 0, F.zip_with("x", "_l", lambda v, l: v - l / (2 * F.col("deg")))).otherwise(F.col("x")).alias("x"))
-        if i % 5 == 4:
-            new = stored(x)
-            if kept is not None:
-                discard(kept)
-            x = kept = new
+    for _ in range(iterations):
+        moved = laplacian_spmm(graph, x, size).withColumnRenamed("x", "_l")  # x is read three times, so each round is written
+        x = stored(x.join(moved, "id").join(deg, "id").select("id", F.when(F.col("deg") > 0, F.zip_with("x", "_l", lambda v, l: v - l / (2 * F.col("deg")))).otherwise(F.col("x")).alias("x")))
+        if kept is not None:
+            discard(kept)
+        kept = x
     return x
 
 
@@ -216,24 +215,40 @@ def heaviest(weights: DataFrame, keep: int) -> DataFrame:
     return weights.orderBy(F.round("val", 9), "src", "dst").limit(keep)
 
 
-def matching_optimal(weights: DataFrame, budget: int) -> DataFrame:
-    """(i, j): the minimum-weight matching of edges (src, dst, val), found as a maximum of (max val - val), component by
-    component, of which the ``budget`` lightest pairs stay."""
-    from grainmill.operators.matching import max_weight_matching
+def _by_component(weights: DataFrame) -> tuple[DataFrame, float | None]:
+    """Edges (i, j, val, component), once each, and the greatest val."""
     from grainmill.plans.connected import components
 
     own = weights.where("src <> dst").groupBy(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).agg(F.min("val").alias("val"))
-    top = own.agg(F.max("val")).first()[0]
-    if top is None:
-        return own.select("i", "j")
-    grouped = own.join(components(own.select("i", "j"), "i", "j").toDF("i", "component"), "i")
+    return own.join(components(own.select("i", "j"), "i", "j").toDF("i", "component"), "i"), own.agg(F.max("val")).first()[0]
+
+
+def _places(edges: pa.Table, top: float) -> tuple[np.ndarray, list[tuple[int, int, float]], dict]:
+    i, j, val = (edges.column(c).to_numpy() for c in ("i", "j", "val"))
+    ids = np.unique(np.concatenate((i, j)))
+    own = [(int(a), int(b), float(top - v)) for a, b, v in zip(np.searchsorted(ids, i), np.searchsorted(ids, j), val)]
+    return ids, own, {(int(a), int(b)): float(v) for a, b, v in zip(i, j, val)}
+
+
+def matching_optimal(weights: DataFrame, budget: int) -> DataFrame:
+    """(i, j): the minimum-weight matching of edges (src, dst, val), found as a maximum of (max val - val), component by
+    component, of which the ``budget`` lightest pairs stay. A component runs in one task, in cubic time."""
+    grouped, top = _by_component(weights)
 
     def match(edges: pa.Table) -> pa.Table:
-        i, j, val = (edges.column(c).to_numpy() for c in ("i", "j", "val"))
-        ids = np.unique(np.concatenate((i, j)))
-        mate = max_weight_matching([(int(a), int(b), float(top - v)) for a, b, v in zip(np.searchsorted(ids, i), np.searchsorted(ids, j), val)])
-        pairs = [(int(ids[a]), int(ids[b])) for a, b in enumerate(mate) if a < b]
-        of = {(int(a), int(b)): float(v) for a, b, v in zip(i, j, val)}
+        ids, own, of = _places(edges, top)
+        pairs = [(int(ids[a]), int(ids[b])) for a, b in enumerate(max_weight_matching(own)) if a < b]
         return pa.table({"i": pa.array([p[0] for p in pairs], pa.int64()), "j": pa.array([p[1] for p in pairs], pa.int64()), "val": pa.array([of[p] for p in pairs], pa.float64())})
 
     return grouped.groupBy("component").applyInArrow(match, "i long, j long, val double").orderBy(F.round("val", 9), "i", "j").limit(budget).select("i", "j")
+
+
+def matching_certificate(weights: DataFrame) -> DataFrame:
+    """(condition, violations): by the duals of ``matching_optimal`` without its budget; no violation proves it optimal."""
+    grouped, top = _by_component(weights)
+
+    def prove(edges: pa.Table) -> pa.Table:
+        found = certificate(_places(edges, top)[1])
+        return pa.table({"condition": pa.array(list(found)), "violations": pa.array(list(found.values()), pa.int64())})
+
+    return grouped.groupBy("component").applyInArrow(prove, "condition string, violations long").groupBy("condition").agg(F.sum("violations").alias("violations"))

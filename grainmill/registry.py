@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.vectors import log_softmax, normalised, pseudo_random
 from grainmill.graph import Graph, r6
-from grainmill.operators import algebra, build, candidates, frames, linalg, proximity, sage
+from grainmill.operators import algebra, build, candidates, frames, linalg, matching, proximity, sage
 from grainmill.plans import multilevel, spectral, training
+from grainmill.plans.stored import stored
 from grainmill.sources import graphs
 
 import numpy as np
@@ -146,8 +147,7 @@ def laplacian_row_sums(spark, d):
 @query(GE + " SELECT b.src AS id FROM e b WHERE b.dst = (SELECT max(src) FROM e)")
 def neighbours_of_node(spark, d):
     g = ge(spark, d)
-    last = g.edges.agg(F.max("src").alias("last"))
-    return g.edges.join(F.broadcast(last), F.col("src") == F.col("last")).select(F.col("dst").alias("id"))
+    return build.neighbours(g, g.edges.agg(F.max("src")).first()[0])
 
 
 @query(GP + ", o AS (SELECT i, j, w, row_number() OVER (ORDER BY i, j) - 1 AS edge FROM und) SELECT i AS node, edge, round(sqrt(w), 6) AS val FROM o UNION ALL SELECT j, edge, round(-sqrt(w), 6) FROM o")
@@ -155,9 +155,9 @@ def gradient_matrix(spark, d):
     return build.gradient_matrix(gp(spark, d)).select("node", "edge", r6("val").alias("val"))
 
 
-@query(GP + ", g AS (SELECT src, dst, w FROM e WHERE NOT (src % 7 = 0 AND src < dst)) SELECT count(*) AS entries, sum(CASE WHEN dst % 7 = 0 AND dst < src OR src % 7 = 0 AND src < dst THEN 1 ELSE 0 END)::BIGINT AS unpaired, max(CASE WHEN dst % 7 = 0 AND dst < src THEN w ELSE 0 END) AS greatest_gap FROM g")
+@query(GP + " SELECT count(*) AS entries, (count(*) - count(o.src))::BIGINT AS unpaired, max(abs(e.w - coalesce(o.w, 0))) AS greatest_gap FROM e LEFT JOIN e o ON o.src = e.dst AND o.dst = e.src")
 def symmetry_check(spark, d):
-    return build.symmetry(build.weights_matrix(gp(spark, d)).where("NOT (row % 7 = 0 AND row < col)"))
+    return build.symmetry(build.weights_matrix(gp(spark, d)))
 
 
 @query(GE + ", c AS (SELECT unnest(range(10)) AS k) SELECT id, k, CASE WHEN y = k THEN 1.0 ELSE 0.0 END::DOUBLE AS val FROM v, c")
@@ -186,10 +186,10 @@ def spmm_features(spark, d):
     return long_form(linalg.spmm(build.weights_matrix(g), g.nodes, 64))
 
 
-@query(GP + ", a AS (SELECT src, dst, w FROM e WHERE src % 5 = 0) SELECT a.src AS row, b.dst AS col, sum(a.w * b.w) AS val FROM a JOIN e b ON a.dst = b.src GROUP BY 1, 2")
+@query(GP + " SELECT a.src AS row, b.dst AS col, sum(a.w * b.w) AS val FROM e a JOIN e b ON a.dst = b.src GROUP BY 1, 2")
 def spmm_sparse(spark, d):
     m = build.weights_matrix(gp(spark, d))
-    return linalg.spgemm(m.where("row % 5 = 0"), m)
+    return linalg.spgemm(m, m)
 
 
 @query(GE + XK + " SELECT xk.id, k, round(any_value(val) * any_value(deg) / 2 - coalesce(sum(w * o), 0), 6) + 0.0 AS val FROM xk JOIN dd USING (id) LEFT JOIN (SELECT src, w, xk.k AS k2, xk.val AS o FROM e JOIN xk ON e.dst = xk.id) s ON s.src = xk.id AND s.k2 = xk.k GROUP BY 1, 2")
@@ -333,7 +333,7 @@ POS = ", pos AS (SELECT id, 0 AS k, " + rnd("id", 1, 5) + " AS val FROM v UNION
 @query(GE + BLOCKS + POS + " SELECT coarse_id AS id, k::BIGINT AS k, round(avg(val), 6) + 0.0 AS val FROM asg JOIN pos ON pos.id = fine_id GROUP BY 1, 2")
 def coarsen_positions(spark, d):
     g = ge(spark, d)
-    return long_form(algebra.coarsen_vector(frames.circular_layout(g.nodes), blocks(g.nodes), 2, "pos"), "pos")
+    return long_form(algebra.coarsen_vector(frames.scattered(g.nodes), blocks(g.nodes), 2, "pos"), "pos")
 
 
 @query(GE + BLOCKS + XK + ", c AS (SELECT coarse_id AS id, k, sum(wt * val) AS val FROM asg JOIN xk ON xk.id = fine_id GROUP BY 1, 2) SELECT id, k, round(val / sqrt(sum(val * val) OVER (PARTITION BY id)), 6) + 0.0 AS val FROM c")
@@ -412,26 +412,59 @@ def heavy_edge_degree(spark, d):
     return edge_values(proximity.heavy_edge_degree(gp(spark, d)))
 
 
-JAC = "".join(
-    f", j{t} AS (SELECT x.id, " + ", ".join(f"CASE WHEN any_value(deg) > 0 THEN any_value(x.a{k}) - (any_value(x.a{k}) * any_value(deg) / 2 - coalesce(sum(e.w * o.a{k}), 0)) / (2 * any_value(deg)) ELSE any_value(x.a{k}) END AS a{k}" for k in range(3))
-    + f" FROM {'ab' if t == 1 else f'j{t - 1}'} x JOIN dd ON dd.id = x.id LEFT JOIN e ON e.src = x.id LEFT JOIN {'ab' if t == 1 else f'j{t - 1}'} o ON o.id = e.dst GROUP BY 1)"
-    for t in range(1, 5)
-)
+#: Nodes by place, their neighbours' places and weights as lists of lists, and start vectors as lists, of which a recursion makes new lists.
+VECTORS = 10
+LISTS = "WITH RECURSIVE " + GE.removeprefix("WITH ") + """, ix AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM v),
+adj AS (SELECT x.i, list(y.i ORDER BY y.i) AS ns, list(e.w ORDER BY y.i) AS ws, sum(e.w) AS d FROM ix x JOIN e ON e.src = x.id JOIN ix y ON y.id = e.dst GROUP BY 1),
+a AS (SELECT list(coalesce(adj.ns, []::BIGINT[]) ORDER BY ix.i) AS ns, list(coalesce(adj.ws, []::DOUBLE[]) ORDER BY ix.i) AS ws, list(coalesce(adj.d, 0.0) ORDER BY ix.i) AS ds FROM ix LEFT JOIN adj ON adj.i = ix.i),
+s AS (SELECT k, list(""" + rnd("id", "k") + f""" ORDER BY i) AS x FROM ix, (SELECT unnest(range({VECTORS})) AS k) GROUP BY k)"""
+AROUND = "coalesce(list_sum(list_transform(range(1, len(a.ns[{i}]) + 1), lambda j: a.ws[{i}][j] * {x}[a.ns[{i}][j]])), 0.0)"
+OF_LISTS = " SELECT ix.id, k, round(x[ix.i], 6) + 0.0 AS val FROM {last} JOIN ix ON true"
 
 
-@query(GE + AB + JAC + " SELECT id, k, round(val, 6) + 0.0 AS val FROM (" + " UNION ALL ".join(f"SELECT id, {k}::BIGINT AS k, a{k} AS val FROM j4" for k in range(3)) + ")")
+def each(expression: str) -> str:
+    return f"list_transform(range(1, len(x) + 1), lambda i: {expression})"
+
+
+JACOBI = LISTS + ", go AS (SELECT 0 AS t, k, x FROM s UNION ALL SELECT t + 1, k, " + each("CASE WHEN a.ds[i] > 0 THEN x[i] - (a.ds[i] * x[i] - " + AROUND.format(i="i", x="x") + ") / (4 * a.ds[i]) ELSE x[i] END") + " FROM go, a WHERE t < 20)"
+
+
+@query(JACOBI + OF_LISTS.format(last="(SELECT * FROM go WHERE t = 20)"))
 def jacobi_vectors(spark, d):
-    return long_form(proximity.jacobi_vectors(ge(spark, d), 3, 4))
+    return long_form(proximity.jacobi_vectors(ge(spark, d), VECTORS, 20))
 
 
-@query()
+SEIDEL = LISTS + ", go AS (SELECT 0::BIGINT AS t, k, x FROM s UNION ALL SELECT t + 1, k, list_concat(list_concat(x[:t], [CASE WHEN a.ds[t + 1] > 0 THEN " + AROUND.format(i="t + 1", x="x") + " / a.ds[t + 1] ELSE 0.0 END]), x[t + 2:]) FROM go, a WHERE t < len(x)), gs AS (SELECT ix.id, k, x[ix.i] AS val FROM go JOIN ix ON true WHERE t = len(x))"
+
+
+@query(SEIDEL + " SELECT id, k, round(val, 6) + 0.0 AS val FROM gs")
 def gauss_seidel_vectors(spark, d):
-    return long_form(proximity.gauss_seidel_vectors(ge(spark, d), 2))
+    return long_form(proximity.gauss_seidel_vectors(ge(spark, d), VECTORS))
 
 
-@query()
+SHIFTED = "((a.ds[i] * {x}[i] - " + AROUND.format(i="i", x="{x}") + ") - p.half * {x}[i]) / p.half"
+CHEBYSHEV = LISTS + """, p0 AS (SELECT list_max(ds) AS half, 50 AS n, 52 AS m FROM a), p1 AS (SELECT *, acos(greatest(-1.0, least(1.0, (1.0 - half) / half))) AS edge FROM p0),
+p AS (SELECT half, list_transform(range(0, n + 1), lambda k: (CASE WHEN k = 0 THEN (pi() - edge) / pi() ELSE -2 * sin(k * edge) / (k * pi()) END) * ((m - k) * cos(pi() * k / m) + sin(pi() * k / m) / tan(pi() / m)) / m) AS c FROM p1),
+first AS (SELECT k, x AS b, """ + each(SHIFTED.format(x="x")) + """ AS x FROM s, a, p),
+go AS (SELECT 1 AS t, k, b, x, list_transform(range(1, len(x) + 1), lambda i: p.c[1] * b[i] + p.c[2] * x[i]) AS o FROM first, p
+UNION ALL SELECT t + 1, k, b, x, list_transform(range(1, len(x) + 1), lambda i: o[i] + p.c[t + 2] * x[i]) FROM (SELECT t, k, go.x AS b, list_transform(range(1, len(x) + 1), lambda i: 2 * (""" + SHIFTED.format(x="x") + """) - b[i]) AS x, o FROM go, a, p WHERE t < 50) n, p)"""
+
+
+@query(CHEBYSHEV + OF_LISTS.format(last="(SELECT k, o AS x FROM go WHERE t = 50)"))
 def chebyshev_vectors(spark, d):
-    return long_form(proximity.chebyshev_vectors(ge(spark, d), 2, 1.0, 10))
+    return long_form(proximity.chebyshev_vectors(ge(spark, d), VECTORS, 1.0, 50))
+
+
+@query(SEIDEL + " SELECT i AS src, j AS dst, round(min(1 / greatest((p.val - q.val) ** 2, 1e-6)), 6) AS val FROM und JOIN gs p ON p.id = i JOIN gs q ON q.id = j AND q.k = p.k GROUP BY 1, 2")
+def algebraic_gauss_seidel(spark, d):
+    return edge_values(proximity.proximity(ge(spark, d), "algebraic_GS", VECTORS))
+
+
+@query(SEIDEL + """, sq AS (SELECT id, sum(val * val) AS q FROM gs GROUP BY 1), dots AS (SELECT src, dst, sum(p.val * q.val) AS d FROM e JOIN gs p ON p.id = src JOIN gs q ON q.id = dst AND q.k = p.k GROUP BY 1, 2),
+c AS (SELECT src, dst, 2 * d ** 2 / (x.q ** 2 * y.q ** 2) AS c FROM dots JOIN sq x ON x.id = src JOIN sq y ON y.id = dst), t AS (SELECT src, max(c) AS top FROM c GROUP BY 1)
+SELECT c.src, c.dst, round(c.c / (x.top * y.top), 6) + 0.0 AS val FROM c JOIN t x ON x.src = c.src JOIN t y ON y.src = c.dst WHERE c.src < c.dst""")
+def affinity_gauss_seidel(spark, d):
+    return edge_values(proximity.proximity(ge(spark, d), "affinity_GS", VECTORS))
 
 
 D2 = " + ".join(f"(a.a{k} - b.a{k}) ** 2" for k in range(3))
@@ -504,14 +537,26 @@ def variation_edge_cost(spark, d):
     return candidates.variation_edge_costs(g, basis3(g.nodes)).select("src", "dst", r6("cost").alias("cost"))
 
 
-MATCH = "WITH RECURSIVE " + GE.removeprefix("WITH ") + """, bud AS (SELECT ceil(0.2 * count(*))::BIGINT AS b FROM v),
-rk AS (SELECT i, j, row_number() OVER (ORDER BY a.deg + b.deg + 2 * w DESC, i, j) AS r FROM und JOIN dd a ON a.id = i JOIN dd b ON b.id = j JOIN v va ON va.id = i JOIN v vb ON vb.id = j WHERE list_dot_product(va.x, vb.x) > 0.32),
+MATCHING = "WITH RECURSIVE " + GE.removeprefix("WITH ") + AB + """, bud AS (SELECT ceil({r} * count(*))::BIGINT AS b FROM v), top AS (SELECT dst AS id, max(w) + 1e-5 AS top FROM e GROUP BY 1),
+rk AS (SELECT i, j, row_number() OVER (ORDER BY {order}, i, j) AS r FROM und JOIN dd da ON da.id = i JOIN dd db ON db.id = j JOIN ab a ON a.id = i JOIN ab b ON b.id = j JOIN top ta ON ta.id = i JOIN top tb ON tb.id = j
+ JOIN v va ON va.id = i JOIN v vb ON vb.id = j WHERE list_dot_product(va.x, vb.x) > {t}),
 go AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS marked, []::BIGINT[] AS acc UNION ALL
  SELECT rk.r, CASE WHEN list_has_any(marked, [i, j]) THEN marked ELSE list_concat(marked, [i, j]) END, CASE WHEN list_has_any(marked, [i, j]) THEN acc ELSE list_append(acc, rk.r) END FROM go JOIN rk ON rk.r = go.r + 1),
-t AS (SELECT unnest(acc) AS r FROM (SELECT acc FROM go ORDER BY r DESC LIMIT 1)) SELECT i, j FROM rk JOIN t USING (r), bud QUALIFY row_number() OVER (ORDER BY r) <= b"""
+t AS (SELECT unnest(acc) AS r FROM (SELECT acc FROM go ORDER BY r DESC LIMIT 1)), mt AS (SELECT i, j FROM rk JOIN t USING (r), bud QUALIFY row_number() OVER (ORDER BY r) <= b)"""
+HEAVIEST_FIRST, DEGREE_FIRST = "round(w / greatest(ta.top, tb.top), 9) DESC", "da.deg + db.deg + 2 * w DESC"
+CHEAPEST_FIRST = "round((da.deg + db.deg) / 2 * (" + " + ".join(f"(a.a{k} - b.a{k}) ** 2" for k in range(3)) + "), 9)"
+#: From matched pairs mt the place of each node's supernode, and from places asg the counts of both levels.
+PAIRED = ", asg AS (SELECT v.id AS fine_id, coalesce(mt.i, v.id) AS coarse_id FROM v LEFT JOIN mt ON mt.j = v.id)"
+LEVELS = """ SELECT 0::BIGINT AS level, (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM und) AS edges, 1.0::DOUBLE AS ratio
+UNION ALL SELECT 1, (SELECT count(DISTINCT coarse_id) FROM asg), (SELECT count(*) FROM (SELECT DISTINCT least(x.coarse_id, y.coarse_id), greatest(x.coarse_id, y.coarse_id) FROM und JOIN asg x ON x.fine_id = i JOIN asg y ON y.fine_id = j WHERE x.coarse_id <> y.coarse_id)),
+ round((SELECT count(DISTINCT coarse_id) FROM asg) / (SELECT count(*) FROM v), 6)"""
+
 
+def level_counts(hierarchy: multilevel.Hierarchy) -> DataFrame:
+    return hierarchy.counts().select(F.col("level").cast("long").alias("level"), "nodes", "edges", r6("ratio").alias("ratio"))
 
-@query(MATCH)
+
+@query(MATCHING.format(r=0.2, t=0.32, order=DEGREE_FIRST) + " SELECT i, j FROM mt")
 def matching_greedy(spark, d):
     g = ge(spark, d)
     similar = multilevel._similar_edges(g, "x")
@@ -530,19 +575,72 @@ def matching_optimal(spark, d):
     return proximity.matching_optimal(candidates.variation_edge_costs(g, basis3(g.nodes)).withColumnRenamed("cost", "val"), int(np.ceil(0.3 * n)))
 
 
+@query(" UNION ALL ".join(f"SELECT '{name}' AS condition, 0::BIGINT AS violations" for name in matching.CONDITIONS))
+def matching_certificate(spark, d):
+    """Whether the duals prove the matching optimal: no condition is violated."""
+    g = ge(spark, d)
+    return proximity.matching_certificate(candidates.variation_edge_costs(g, basis3(g.nodes)).withColumnRenamed("cost", "val"))
+
+
 # --- spectral and multilevel -----------------------------------------------------------------------------
 
+COMPONENTS = "WITH RECURSIVE " + GE.removeprefix("WITH ") + ", r AS (SELECT id, id AS c FROM v UNION SELECT e.dst, r.c FROM r JOIN e ON e.src = r.id), cc AS (SELECT count(DISTINCT c) AS n FROM (SELECT id, min(c) AS c FROM r GROUP BY 1))"
 
-@query()
+
+@query(COMPONENTS + " SELECT i, j, CASE WHEN i = j AND i < 40 - (SELECT n FROM cc) THEN 1.0 ELSE 0.0 END::DOUBLE AS val FROM (SELECT unnest(range(40)) AS i), (SELECT unnest(range(40)) AS j)")
 def spectral_basis(spark, d):
-    return spectral.basis(ge(spark, d), 40).select("id", F.size("b").alias("k"), r6(F.aggregate("b", F.lit(0.0), lambda s, v: s + v * v)).alias("squared_length"))
+    """B' L B, which is 1 on the diagonal but for the null vectors, the last."""
+    g = ge(spark, d)
+    q = linalg.gram(g, spectral.basis(g, 40).withColumnRenamed("b", "x"), 40)
+    return spark.createDataFrame([(i, j, abs(round(float(q[i, j]), 6))) for i in range(40) for j in range(40)], "i long, j long, val double")
 
 
-@query()
+@query(COMPONENTS + " SELECT round(sum(deg) / 2, 4) AS trace, round(sum(deg * deg) / 4 + (SELECT sum(w * w) FROM e), 4) AS squares, (SELECT n FROM cc) AS zeros FROM dd")
 def spectrum(spark, d):
+    """Of all eigenvalues: their sum, the sum of their squares, and how many are 0."""
+    g = ge(spark, d)
+    _, values = spectral.smallest_eigenpairs(g, g.nodes.count())
+    return spark.createDataFrame([(round(float(values.sum()), 4), round(float((values**2).sum()), 4), int((values < 1e-9 * values[-1]).sum()))], "trace double, squares double, zeros long")
+
+
+@query(" UNION ALL ".join(f"SELECT {k}::BIGINT AS k, true AS settled" for k in range(10)))
+def spectrum_residuals(spark, d):
+    """Of the pairs that the iteration for many nodes finds: whether ||Lx - vx|| is under 1e-6 of twice the greatest degree."""
+    g = graphs_stored(gp(spark, d))
+    vectors, values = spectral._iterated(g, 10)
+    lx = linalg.laplacian_spmm(g, vectors, 10).withColumnRenamed("x", "lx").join(vectors, "id")
+    top = 2.0 * build.degree(g, "row").agg(F.max("deg")).first()[0]
+    row = lx.agg(*[F.sum((F.col("lx")[k] - F.lit(float(v)) * F.col("x")[k]) ** 2) for k, v in enumerate(values)]).first()
+    return spark.createDataFrame([(k, bool(r**0.5 <= 1e-6 * top)) for k, r in enumerate(row)], "k long, settled boolean")
+
+
+def graphs_stored(g: Graph) -> Graph:
+    return Graph(stored(g.nodes), stored(g.edges))
+
+
+@query(GREEDY.format(r=0.5, t=0.25) + LEVELS)
+def coarsen_one_level(spark, d):
+    g = ge(spark, d)
+    return level_counts(multilevel.coarsen(g, 3, 0.5, 1, threshold=0.25, sizes={"x": 64}, b=basis3(g.nodes, name="b")))
+
+
+@query(MATCHING.format(r=0.3, t=0.25, order=CHEAPEST_FIRST) + PAIRED + LEVELS)
+def coarsen_by_variation_edges(spark, d):
     g = ge(spark, d)
-    _, values = spectral.smallest_eigenpairs(g, 50)
-    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(values)], "k int, value double")
+    return level_counts(multilevel.coarsen(g, 3, 0.3, 1, "variation_edges", threshold=0.25, sizes={"x": 64}, b=basis3(g.nodes, name="b")))
+
+
+@query(MATCHING.format(r=0.3, t=0.25, order=HEAVIEST_FIRST) + PAIRED + LEVELS)
+def coarsen_by_heavy_edges(spark, d):
+    g = ge(spark, d)
+    return level_counts(multilevel.coarsen(g, 3, 0.3, 1, "heavy_edge", threshold=0.25, sizes={"x": 64}, b=basis3(g.nodes, name="b")))
+
+
+@query(MATCHING.format(r=0.3, t=0.25, order="true") + PAIRED + LEVELS)
+def coarsen_by_ids(spark, d):
+    """kron: no measure, so ids decide."""
+    g = ge(spark, d)
+    return level_counts(multilevel.coarsen(g, 3, 0.3, 1, "kron", threshold=0.25, sizes={"x": 64}, b=basis3(g.nodes, name="b")))
 
 
 @query()
@@ -551,58 +649,53 @@ def coarsen_multilevel(spark, d):
 
 
 @query()
-def coarsen_by_heavy_edges(spark, d):
-    return multilevel.apply_graph_coarsening(ge(spark, d), "heavy_edge", 0.3, 5, 0.3, 2, {"x": 64}).counts()
+def apply_coarsening(spark, d):
+    return multilevel.apply_graph_coarsening(ge(spark, d), "heavy_edge", 0.3, 5, 0.25, 2, {"x": 64}).counts()
 
 
-@query()
-def coarsen_by_variation_edges(spark, d):
-    return multilevel.coarsen(ge(spark, d), 30, 0.3, 1, "variation_edges", "optimal").counts()
+# --- learning ----------------------------------------------------------------------------------------------
 
+X, H, C = 64, 6, 10  # features, hidden units, classes
 
-# --- learning ----------------------------------------------------------------------------------------------
 
-W1 = np.array([[((i * 3 + j) * 37 % 19 - 9) / 10 for j in range(3)] for i in range(4)])
-W2 = np.array([[((i * 3 + j) * 53 % 23 - 11) / 10 for j in range(3)] for i in range(4)])
-V1 = np.array([[((i * 5 + j) * 29 % 17 - 8) / 10 for j in range(4)] for i in range(3)])
-V2 = np.array([[((i * 5 + j) * 41 % 13 - 6) / 10 for j in range(4)] for i in range(3)])
+def fixed(rows: int, columns: int, step: int, modulus: int) -> np.ndarray:
+    return np.array([[((i * columns + j) * step % modulus - modulus // 2) / 10 for j in range(columns)] for i in range(rows)])
+
+
+W1, W2, V1, V2 = fixed(X, H, 37, 19), fixed(X, H, 53, 23), fixed(H, C, 29, 17), fixed(H, C, 41, 13)
 
 
 def product(x: str, w: np.ndarray, j: int) -> str:
     return " + ".join(f"{x.format(i)} * ({w[i, j]})" for i in range(w.shape[0]))
 
 
-H1 = ", h AS (SELECT v.id, " + ", ".join(f"greatest(0.0, {product('coalesce(n.a{0}, 0)', W1, j)} + {product('v.x[1 + {0}]', W2, j)}) AS h{j}" for j in range(3)) + " FROM v LEFT JOIN (SELECT src, " + ", ".join(f"sum(w * o.x[{i + 1}]) / count(*) AS a{i}" for i in range(4)) + " FROM e JOIN v o ON o.id = e.dst GROUP BY 1) n ON n.src = v.id)"
-Z = H1 + ", z AS (SELECT h.id, " + ", ".join(f"{product('coalesce(n.a{0}, 0)', V1, j)} + {product('h.h{0}', V2, j)} AS z{j}" for j in range(4)) + " FROM h LEFT JOIN (SELECT src, " + ", ".join(f"sum(w * o.h{i}) / count(*) AS a{i}" for i in range(3)) + " FROM e JOIN h o ON o.id = e.dst GROUP BY 1) n ON n.src = h.id), lp AS (SELECT id, " + ", ".join(f"z{j} - ln(exp(z0) + exp(z1) + exp(z2) + exp(z3)) AS p{j}" for j in range(4)) + " FROM z), y4 AS (SELECT id, y % 4 AS y FROM v)"
-PRED = Z + ", pr AS (SELECT id, CASE WHEN p0 >= p1 AND p0 >= p2 AND p0 >= p3 THEN 0 WHEN p1 >= p2 AND p1 >= p3 THEN 1 WHEN p2 >= p3 THEN 2 ELSE 3 END AS pred FROM lp)"
+H1 = ", nx AS (SELECT src, " + ", ".join(f"sum(w * o.x[{i + 1}]) / count(*) AS a{i}" for i in range(X)) + " FROM e JOIN v o ON o.id = e.dst GROUP BY 1), h AS (SELECT v.id, " + ", ".join(f"greatest(0.0, {product('coalesce(n.a{0}, 0)', W1, j)} + {product('v.x[1 + {0}]', W2, j)}) AS h{j}" for j in range(H)) + " FROM v LEFT JOIN nx n ON n.src = v.id)"
+Z = H1 + ", z AS (SELECT h.id, " + ", ".join(f"{product('coalesce(n.a{0}, 0)', V1, j)} + {product('h.h{0}', V2, j)} AS z{j}" for j in range(C)) + " FROM h LEFT JOIN (SELECT src, " + ", ".join(f"sum(w * o.h{i}) / count(*) AS a{i}" for i in range(H)) + " FROM e JOIN h o ON o.id = e.dst GROUP BY 1) n ON n.src = h.id), lp AS (SELECT id, " + ", ".join(f"z{j} - ln({' + '.join(f'exp(z{k})' for k in range(C))}) AS p{j}" for j in range(C)) + " FROM z), y4 AS (SELECT id, y FROM v)"
+ALL_P = "[" + ", ".join(f"p{j}" for j in range(C)) + "]"
+PRED = Z + f", pr AS (SELECT id, list_position({ALL_P}, list_max({ALL_P})) - 1 AS pred FROM lp)"
 
 
 def fixed_model() -> sage.Sage:
-    return sage.Sage({"l1": W1, "r1": W2, "b1": np.zeros(3), "l2": V1, "r2": V2, "b2": np.zeros(4)})
-
-
-def ge4(spark, d) -> Graph:
-    g = ge(spark, d)
-    return Graph(g.nodes.select("id", F.slice("x", 1, 4).alias("x"), (F.col("y") % 4).alias("y")), g.edges)
+    return sage.Sage({"l1": W1, "r1": W2, "b1": np.zeros(H), "l2": V1, "r2": V2, "b2": np.zeros(C)})
 
 
 def wide(table: str, names: str, n: int) -> str:
     return f" SELECT id, k, round(val, 6) + 0.0 AS val FROM ({' UNION ALL '.join(f'SELECT id, {k}::BIGINT AS k, {names}{k} AS val FROM {table}' for k in range(n))})"
 
 
-@query(GE + H1 + wide("h", "h", 3))
+@query(GE + H1 + wide("h", "h", H))
 def sage_layer(spark, d):
-    return long_form(fixed_model().hidden(ge4(spark, d)), "h")
+    return long_form(fixed_model().hidden(ge(spark, d)), "h")
 
 
-@query(GE + H1 + ", s AS (SELECT id, " + ", ".join(f"h{k} / greatest(sqrt(h0 * h0 + h1 * h1 + h2 * h2), 1e-12) AS h{k}" for k in range(3)) + " FROM h)" + wide("s", "h", 3))
+@query(GE + H1 + ", s AS (SELECT id, " + ", ".join(f"h{k} / greatest(sqrt({' + '.join(f'h{i} * h{i}' for i in range(H))}), 1e-12) AS h{k}" for k in range(H)) + " FROM h)" + wide("s", "h", H))
 def sage_embeddings(spark, d):
-    return long_form(fixed_model().embeddings(ge4(spark, d)), "emb")
+    return long_form(fixed_model().embeddings(ge(spark, d)), "emb")
 
 
-@query(GE + Z + wide("lp", "p", 4))
+@query(GE + Z + wide("lp", "p", C))
 def sage_forward(spark, d):
-    return long_form(fixed_model().forward(ge4(spark, d)), "logp")
+    return long_form(fixed_model().forward(ge(spark, d)), "logp")
 
 
 @query(GE + " SELECT id, k, round(x[k + 1] - ln(list_sum(list_transform(x, lambda t: exp(t)))), 6) + 0.0 AS val FROM v, (SELECT unnest(range(64)) AS k)")
@@ -617,28 +710,28 @@ def normalised_rows(spark, d):
 
 @query(GE + PRED + " SELECT id, pred::BIGINT AS pred FROM pr")
 def argmax_class(spark, d):
-    return sage.predictions(fixed_model().forward(ge4(spark, d))).select("id", F.col("pred").cast("long").alias("pred"))
+    return sage.predictions(fixed_model().forward(ge(spark, d))).select("id", F.col("pred").cast("long").alias("pred"))
 
 
 @query(GE + PRED + " SELECT count(*) AS n, round(avg((pred = y)::INT), 6) AS accuracy FROM pr JOIN y4 USING (id)")
 def accuracy(spark, d):
-    g = ge4(spark, d)
+    g = ge(spark, d)
     return sage.accuracy(sage.predictions(fixed_model().forward(g)), g.nodes).select("n", r6("accuracy").alias("accuracy"))
 
 
-@query(GE + PRED + """, b AS (SELECT y, pred FROM pr JOIN y4 USING (id)), s AS (SELECT c AS y, (SELECT count(*) FROM b WHERE y = c) AS support, (SELECT count(*) FROM b WHERE pred = c) AS predicted, (SELECT count(*) FROM b WHERE y = c AND pred = c) AS hits FROM (SELECT unnest(range(4)) AS c))
+@query(GE + PRED + """, b AS (SELECT y, pred FROM pr JOIN y4 USING (id)), s AS (SELECT c AS y, (SELECT count(*) FROM b WHERE y = c) AS support, (SELECT count(*) FROM b WHERE pred = c) AS predicted, (SELECT count(*) FROM b WHERE y = c AND pred = c) AS hits FROM (SELECT unnest(range(10)) AS c))
 SELECT y, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, support FROM (SELECT y, support, CASE WHEN predicted > 0 THEN hits / predicted ELSE 0 END AS p, CASE WHEN support > 0 THEN hits / support ELSE 0 END AS r, predicted FROM s WHERE support + predicted > 0)""")
 def class_report(spark, d):
-    g = ge4(spark, d)
+    g = ge(spark, d)
     return sage.class_report(sage.predictions(fixed_model().forward(g)), g.nodes).select(F.col("y").cast("long").alias("y"), *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-NLL = "SELECT avg(-CASE y WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END) AS nll FROM lp JOIN y4 USING (id)"
+NLL = f"SELECT avg(-{ALL_P}[y + 1]) AS nll FROM lp JOIN y4 USING (id)"
 
 
 @query(GE + Z + f" SELECT round(nll, 6) AS loss FROM ({NLL})")
 def nll_loss(spark, d):
-    g = ge4(spark, d)
+    g = ge(spark, d)
     return sage.nll(fixed_model().forward(g), g.nodes).select(r6("loss").alias("loss"))
 
 
@@ -647,7 +740,7 @@ pp AS (SELECT (t * 7919 + 104729 + 13) % n AS a, (t * t * 31 + t * 15485863 + 7)
 c AS (SELECT avg(list_dot_product(x, x)) AS closeness FROM v), s AS (SELECT avg(list_dot_product(x.x, y.x)) AS separation FROM pp JOIN v x ON x.id = a JOIN v y ON y.id = b)
 SELECT round(nll, 6) AS nll, round(closeness, 6) AS closeness, round(separation, 6) + 0.0 AS separation, round(nll + separation - closeness, 6) AS loss FROM nn, c, s""")
 def coarsening_loss(spark, d):
-    g = ge4(spark, d)
+    g = ge(spark, d)
     emb = ge(spark, d).nodes.select("id", F.col("x").alias("emb"))
     n = emb.count()
     loss = sage.coarsening_loss(fixed_model().forward(g), g.nodes, emb, sage.random_pairs(n, sage.pair_count(n), spark))
@@ -714,7 +807,7 @@ def edge_stride_sample(spark, d):
 
 @query(GE + POS + " SELECT k::BIGINT AS axis, round(min(val) - 0.1 * (max(val) - min(val)), 6) AS low, round(max(val) + 0.1 * (max(val) - min(val)), 6) AS high FROM pos GROUP BY 1")
 def axis_limits(spark, d):
-    return frames.axis_limits(frames.circular_layout(ge(spark, d).nodes)).select(F.col("axis").cast("long").alias("axis"), r6("low").alias("low"), r6("high").alias("high"))
+    return frames.axis_limits(frames.scattered(ge(spark, d).nodes)).select(F.col("axis").cast("long").alias("axis"), r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(GE + BLOCKS + POS + """, c0 AS (SELECT DISTINCT coarse_id AS id, coarse_id // 3 AS g FROM asg), c1 AS (SELECT g, min(id) AS rep, count(*) AS nc FROM c0 GROUP BY 1),
@@ -725,10 +818,39 @@ def level_positions(spark, d):
     g = ge(spark, d)
     first = blocks(g.nodes)
     second = blocks(first.select(F.col("coarse_id").alias("id")).distinct())
-    at = frames.level_positions(frames.circular_layout(g.nodes), [first, second])
+    at = frames.level_positions(frames.scattered(g.nodes), [first, second])
     return at.select(F.col("level").cast("long").alias("level"), "id", F.posexplode("pos").alias("k", "val")).select("level", "id", F.col("k").cast("long").alias("k"), r6("val").alias("val"))
 
 
+@query(GE + BLOCKS + POS + """, c0 AS (SELECT DISTINCT coarse_id AS id, coarse_id // 3 AS g FROM asg), c1 AS (SELECT g, min(id) AS rep FROM c0 GROUP BY 1),
+asg2 AS (SELECT c0.id AS fine_id, dense_rank() OVER (ORDER BY rep) - 1 AS coarse_id FROM c0 JOIN c1 USING (g))
+SELECT asg2.coarse_id AS id, k::BIGINT AS k, round(avg(val), 6) + 0.0 AS val FROM asg JOIN asg2 ON asg2.fine_id = asg.coarse_id JOIN pos ON pos.id = asg.fine_id GROUP BY 1, 2""")
+def fast_positions(spark, d):
+    g = ge(spark, d)
+    first = blocks(g.nodes)
+    second = blocks(first.select(F.col("coarse_id").alias("id")).distinct())
+    return long_form(frames.mean_positions(frames.scattered(g.nodes), algebra.compose(first, second)), "pos")
+
+
+def two_levels(spark, d) -> tuple:
+    g = ge(spark, d)
+    step = blocks(g.nodes)
+    return frames.frames([g, algebra.construct(g, step, {})], frames.scattered(g.nodes), [step], [step], "quality")
+
+
+@query(GE + BLOCKS + POS + """, p1 AS (SELECT coarse_id AS id, k, avg(val) AS val FROM asg JOIN pos ON pos.id = fine_id GROUP BY 1, 2), n AS (SELECT coarse_id AS id, count(*) AS nc FROM asg GROUP BY 1)
+SELECT 0::BIGINT AS level, x.id, round(x.val, 6) + 0.0 AS x, round(y.val, 6) + 0.0 AS y, x.id % 8 AS color, 20.0::DOUBLE AS size FROM pos x JOIN pos y ON y.id = x.id AND x.k = 0 AND y.k = 1
+UNION ALL SELECT 1, x.id, round(x.val, 6) + 0.0, round(y.val, 6) + 0.0, x.id % 8, round(CASE WHEN nc > 1 THEN 20 * (1.2 + 0.4 * least(nc, 5)) ELSE 20 END, 6) FROM p1 x JOIN p1 y ON y.id = x.id AND x.k = 0 AND y.k = 1 JOIN n ON n.id = x.id""")
+def frame_nodes(spark, d):
+    nodes, _ = two_levels(spark, d)
+    return nodes.select(F.col("level").cast("long").alias("level"), "id", r6("x").alias("x"), r6("y").alias("y"), F.col("color").cast("long").alias("color"), r6("size").alias("size"))
+
+
+@query(GE + BLOCKS + " SELECT 0::BIGINT AS level, i AS src, j AS dst FROM und UNION ALL SELECT DISTINCT 1, least(a.coarse_id, b.coarse_id), greatest(a.coarse_id, b.coarse_id) FROM und JOIN asg a ON a.fine_id = i JOIN asg b ON b.fine_id = j WHERE a.coarse_id <> b.coarse_id")
+def frame_edges(spark, d):
+    return two_levels(spark, d)[1].select(F.col("level").cast("long").alias("level"), "src", "dst")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.graph import Graph
+from grainmill.operators.build import to_undirected
 from grainmill.plans.shipping import ship
 
 BLOCK = 4_096
@@ -20,8 +19,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def from_files(spark: SparkSession, nodes: str, edges: str) -> Graph:
-    return Graph(spark.read.parquet(nodes), spark.read.parquet(edges))
+def checked(graph: Graph) -> Graph:
+    """The graph, if its node ids are there and each once, and its edges join known nodes, each once, both ways alike; else an error."""
+    nodes, edges = graph.nodes, graph.edges
+    n = nodes.agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("ids"), F.count_distinct("id").alias("distinct")).first()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
+    mirror = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("back"))
+    found = {
+        "null ids of nodes": n["n"] - n["ids"],
+        "repeated ids of nodes": n["ids"] - n["distinct"],
+        "ends that are no node's": ends.count(),
+        "repeated edges": edges.count() - edges.select("src", "dst").distinct().count(),
+        "edges without an equal one back": edges.join(mirror, ["src", "dst"], "left").where("back IS NULL OR back <> w").count(),
+    }
+    wrong = {k: v for k, v in found.items() if v}
+    if wrong:
+        raise ValueError("not a graph: " + ", ".join(f"{v} {k}" for k, v in wrong.items()))
+    return graph
+
+
+def from_tables(nodes: DataFrame, edges: DataFrame) -> Graph:
+    """A checked graph from nodes (id, ...) and edges (src, dst, and w, or all weigh 1), given one way or both."""
+    weighted = edges if "w" in edges.columns else edges.withColumn("w", F.lit(1.0))
+    own = weighted.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast("double").alias("w"))
+    return checked(Graph(nodes.withColumn("id", F.col("id").cast("long")), to_undirected(own)))
+
+
+def from_files(spark: SparkSession, nodes: str, edges: str, kind: str = "parquet", **options: str) -> Graph:
+    """``from_tables`` of files that Spark reads."""
+    read = spark.read.options(**options).format(kind)
+    return from_tables(read.load(nodes), read.load(edges))
+
+
+def from_arrays(spark: SparkSession, features: np.ndarray, edges: np.ndarray, labels: np.ndarray) -> Graph:
+    """``from_tables`` of arrays on the driver: features N x F, edges M x 2, labels N; ids are places."""
+    ship(spark)
+    x = pa.array(list(np.asarray(features, dtype=np.float64)), pa.list_(pa.float64()))
+    nodes = pa.table({"id": pa.array(np.arange(len(x)), pa.int64()), "x": x, "y": pa.array(np.asarray(labels), pa.int32())})
+    ends = np.asarray(edges, dtype=np.int64).reshape(-1, 2)
+    return from_tables(spark.createDataFrame(nodes), spark.createDataFrame(pa.table({"src": ends[:, 0], "dst": ends[:, 1]})))
 
 
 def write(graph: Graph, folder: str) -> None:
@@ -76,7 +112,3 @@ def copurchase_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def copurchase_graph(spark: SparkSession, sf_dir: str) -> Graph:
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("x"), F.substring_index("p_brand", "#", -1).alias("brand"))
     return Graph(nodes, both_ways(copurchase_pairs(spark, sf_dir)))
-
-
-def batches_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in rows if b.num_rows)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from grainmill.graph import Graph
 from grainmill.operators import algebra, build, candidates, frames, linalg, proximity, sage, selection
-from grainmill.plans import multilevel, spectral, training
+from grainmill.plans import logs, multilevel, spectral, training
 from grainmill.sources import graphs
 
 
@@ -251,7 +251,10 @@ def test_levels(g, tmp_path, method, algorithm):
     assert (np.count_nonzero(whole, axis=0) == 1).all()
     if method == "kron":
         out.write(str(tmp_path))
-        nodes, edges = frames.frames(out.graphs, frames.circular_layout(g.nodes), out.steps, out.composed)
+        back = multilevel.Hierarchy.read(g.nodes.sparkSession, str(tmp_path))
+        assert back.counts().orderBy("level").collect() == out.counts().orderBy("level").collect()
+        assert [a.count() for a in (*back.steps, *back.composed)] == [a.count() for a in (*out.steps, *out.composed)]
+        nodes, edges = frames.frames(out.graphs, frames.scattered(g.nodes), out.steps, out.composed)
         assert nodes.where("level = 0").count() == N and edges.count() > 0
 
 
@@ -321,10 +324,62 @@ def test_gradients_and_learning(spark):
 def test_coarsen_and_train(spark, tmp_path):
     out = training.train(planted(spark), 2, 2, levels=1, epochs_per_level=3, rate=0.1, threshold=0.0, k=4, hidden=4)
     out.write(str(tmp_path))
-    row = spark.read.parquet(f"{tmp_path}/runs").first()
+    runs, curves, composed = training.read_runs(spark, str(tmp_path))
+    assert curves.count() == 3 and len(composed) == 1
+    row = runs.first()
     assert row.level == 1 and row.num_nodes <= 40 and 0 <= row.acc_fine <= 1
 
 
 def test_dropout_mask():
     mask = sage.kept(np.arange(2000), 5, 0.3)
     assert abs(mask.mean() - 1) < 0.05 and set(np.unique(mask.round(6))) == {0.0, round(1 / 0.7, 6)}
+
+
+def test_sources_are_checked(spark, tmp_path):
+    x, edges, y = np.eye(3), np.array([[0, 1], [1, 2], [2, 1]]), np.array([0, 1, 0])
+    own = graphs.from_arrays(spark, x, edges, y)
+    assert sorted(map(tuple, own.edges.collect())) == [(0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0)]
+    graphs.write(own, str(tmp_path / "g"))
+    back = graphs.from_files(spark, str(tmp_path / "g/nodes"), str(tmp_path / "g/edges"))
+    assert back.edges.count() == 4 and back.nodes.count() == 3
+    (tmp_path / "e.csv").write_text("src,dst\n0,1\n0,2\n")
+    (tmp_path / "n.csv").write_text("id,y\n0,1\n1,1\n2,0\n")
+    assert graphs.from_files(spark, str(tmp_path / "n.csv"), str(tmp_path / "e.csv"), "csv", header="true", inferSchema="true").edges.count() == 4
+    for nodes, ends, what in (([(0,), (0,)], [(0, 0, 1.0)], "repeated ids"), ([(0,)], [(0, 1, 1.0), (1, 0, 1.0)], "no node's"), ([(0,), (None,)], [], "null ids"), ([(0,), (1,)], [(0, 1, 1.0)], "back")):
+        with pytest.raises(ValueError, match=what):
+            graphs.checked(Graph(spark.createDataFrame(nodes, "id long"), spark.createDataFrame(ends, "src long, dst long, w double")))
+    placed = own.with_positions(frames.scattered(own.nodes))
+    assert placed.nodes.where("pos IS NOT NULL").count() == 3 and frames.layout(placed).count() == 3
+
+
+def test_springs_pull_links_together(spark):
+    pairs = [(i, j, 1) for k in (0, 6) for i in range(k, k + 6) for j in range(i + 1, k + 6)] + [(0, 6, 1)]
+    own = graph(spark, 12, pairs)
+    at = dense(frames.spring_layout(own, 15), "pos")
+    away = np.linalg.norm(at[:, None] - at[None], axis=2)
+    linked = np.mean([away[i, j] for i, j, _ in pairs])
+    apart = np.mean([away[i, j] for i in range(6) for j in range(6, 12)])
+    assert np.isfinite(at).all() and linked < 0.7 * apart
+
+
+def test_frame_modes(spark, monkeypatch):
+    assert [frames.frame_mode(n, m) for n, m in ((501, 1), (10, 11), (500, 10))] == ["fast", "fast", "quality"]
+    with pytest.raises(ValueError):
+        frames.frame_mode(1, 1, "slow")
+    monkeypatch.setattr(frames, "FEW_NODES", 5)
+    own = graph(spark, 12, [(i, (i + 1) % 12, 1) for i in range(12)])
+    sets = spark.createDataFrame([([0, 1],), ([2, 3],)], "members array<long>")
+    step = algebra.assignment(sets, own.nodes)
+    args = ([own, algebra.construct(own, step, {})], frames.scattered(own.nodes), [step], [step])
+    nodes, edges = frames.frames(*args, "efficient")
+    assert nodes.groupBy("level").count().orderBy("level").collect() == [(0, 5), (1, 5)] and edges.where("level = 0").count() < 12
+    nodes, edges = frames.frames(*args, "fast")
+    assert nodes.count() == 22 and edges.where("level = 0").count() == 12
+
+
+def test_logs(tmp_path):
+    for k in range(2):
+        logs.logger("run", False, str(tmp_path)).info("line %d", k)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["run-1.log", "run.log"] and "line 1" in (tmp_path / "run-1.log").read_text()
+    logs.logger("run", False, str(tmp_path), append=True).info("more")
+    assert (tmp_path / "run.log").read_text().count("\n") == 2
