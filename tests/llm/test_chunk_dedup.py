@@ -117,6 +117,46 @@ def test_repeats_under_one_id_and_within_a_text(spark):
     assert len(after) == 5 and sum(a in t for t in set(after)) == 1 and all(t.count(b) == 1 for t in after if b in t) and sum(b in t for t in after) == 2
 
 
+def test_spans_equal_a_search_of_all_texts(spark):
+    rng = random.Random(21)
+    pool = [prose(rng, rng.randint(51, 90)) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [prose(rng, rng.randint(5, 60))]
+        for _ in range(rng.randint(0, 2)):
+            parts += [rng.choice(pool), prose(rng, rng.randint(3, 50))]
+        rows.append((i, " ".join(parts)))
+    got = {}
+    for r in chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    seen: set[tuple] = set()  # runs of eight words of earlier texts
+    for i, t in rows:
+        words = t.split(" ")
+        at = np.cumsum([0] + [len(w.encode()) + 1 for w in words])
+        runs = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        repeated = np.zeros(len(words), dtype=bool)
+        for k, run in enumerate(runs):
+            if run in seen:
+                repeated[k : k + 8] = True
+        found = np.array([any(a <= at[k] and at[k + 1] - 1 <= b for a, b in got.get(i, [])) for k in range(len(words))])
+        own, flags = set(), repeated.tolist() + [False]
+        start = None
+        for k, flag in enumerate(flags):  # repeated stretches within this text count too, from their second place on
+            if flag and start is None:
+                start = k
+            if not flag and start is not None:
+                if k - start >= 51:
+                    assert found[start + 1 : k - 1].all(), (i, start, k)  # another earlier text may share one word more
+                start = None
+        for k, run in enumerate(runs):
+            if run in own:
+                repeated[k : k + 8] = True
+            own.add(run)
+        near = repeated | np.append(repeated[1:], False) | np.append(False, repeated[:-1])  # a word may be the beginning of the origin's next
+        assert not (found & ~near).any(), i
+        seen |= own
+
+
 def test_text_without_white_space(spark):
     rng = random.Random(13)
     signs = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))

@@ -78,6 +78,26 @@ def test_best_fit_is_best_and_bounded():
     assert sum(bins.values()) / (100 * len(bins)) > 0.9
 
 
+def test_packing_equals_a_plain_best_fit():
+    random.seed(5)
+    for size, most in ((100, 8), (1024, 64)):
+        fit, free, bins = packing.BestFit(size, most), [], 0
+        for _ in range(4000):
+            n = random.randint(1, size) if random.random() < 0.7 else random.randint(1, 9)
+            fit.place(n)
+            fitting = [f for f in free if f >= n]
+            if fitting:
+                free.remove(min(fitting))
+                left = min(fitting) - n
+            else:
+                bins, left = bins + 1, size - n
+            if left:
+                free.append(left)
+                if len(free) > most:
+                    free.remove(min(free))
+            assert sorted(free) == sorted(space for space, own in enumerate(fit.by_space) for _ in own) and fit.next_bin == bins
+
+
 def test_packing_rows(spark):
     random.seed(2)
     texts = ["", "a b c", "a b c", "word " * 3000, "<|endoftext|> x", *("w" * random.randint(1, 9) + " tok" * random.randint(0, 900) for _ in range(60))]
