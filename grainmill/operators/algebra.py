@@ -101,6 +101,11 @@ def train_mask(assign: DataFrame, splits: DataFrame) -> DataFrame:
     return own.groupBy(F.col("coarse_id").alias("id")).agg(F.max("t").alias("is_train"))
 
 
+def coarse_edges_and_features(graph: Graph, assign: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(src, dst) of the coarse graph, and (id, x) of its nodes."""
+    return coarsen_edges(graph.edges, assign).select("src", "dst"), coarsen_dense(graph.nodes, assign, size)
+
+
 def sets_of(pairs: DataFrame) -> DataFrame:
     """Matched pairs (i, j) as two-member sets."""
     return pairs.select(F.array(F.least("i", "j"), F.greatest("i", "j")).alias("members"))

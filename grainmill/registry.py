@@ -324,7 +324,13 @@ def construct_graph_edges(spark, d):
 @query(GE + BLOCKS + XK + " SELECT coarse_id AS id, k, round(sum(wt * val), 6) + 0.0 AS val FROM asg JOIN xk ON xk.id = fine_id GROUP BY 1, 2")
 def coarsen_features(spark, d):
     g = ge(spark, d)
-    return long_form(algebra.coarsen_dense(g.nodes, blocks(g.nodes), 64))
+    return long_form(algebra.coarse_edges_and_features(g, blocks(g.nodes), 64)[1])
+
+
+@query(GE + BLOCKS + " SELECT DISTINCT a.coarse_id AS src, b.coarse_id AS dst FROM e JOIN asg a ON e.src = a.fine_id JOIN asg b ON e.dst = b.fine_id WHERE a.coarse_id <> b.coarse_id")
+def coarsened_edges(spark, d):
+    g = ge(spark, d)
+    return algebra.coarse_edges_and_features(g, blocks(g.nodes), 64)[0]
 
 
 POS = ", pos AS (SELECT id, 0 AS k, " + rnd("id", 1, 5) + " AS val FROM v UNION ALL SELECT id, 1, " + rnd("id", 2, 9) + " FROM v)"
