@@ -9,11 +9,12 @@ permutations fill 24 bands of five, or at 0.80 thirty bands of four. Steps:
    on their full sets.
 3. In buckets that then still hold several components, blocks of members are compared with each other,
    those across components confirmed until connected. Blocks bound the memory and the rows dealt out; no
-   pair list is made, and no bucket is cut short. A bucket of over ``CROWD`` members (much text of one
-   pattern) is first divided by its members' other bands, so that only those that share two bands meet.
+   pair list is made, and no bucket is cut short. In a bucket of over ``CROWD`` members (much text of one
+   pattern) those that share a second band meet first, which leaves fewer components; what then still holds
+   several is compared in blocks as any other bucket, so a pair that shares one band alone is found at every size.
 
-At the least similarity asked for a pair shares no bucket with probability below 1e-6 (in a crowd: no two
-bands, below 2e-5), and at 1e-9 the signatures of a confirmed pair would be ruled out.
+At the least similarity asked for a pair shares no bucket with probability below 1e-6, and at 1e-9 the
+signatures of a confirmed pair would be ruled out.
 
 Null, empty or blank texts have no shingles and are linked with nothing. Rows that share an id are one
 node: all they link is one component. Rows with a null id are kept and have no component. Texts of any length are read whole.
@@ -39,7 +40,7 @@ from grainmill.llm.shingles import mix, shingle_set
 
 PERMUTATIONS = 60
 BLOCK = 512
-#: Members of a hub that one task compares with it; members of a bucket that are compared without a second band.
+#: Members of a hub that one task compares with it; members of a bucket over which those that share a second band come first.
 PORTION, CROWD = 1_000, 8_192
 
 _A = (mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -281,6 +282,23 @@ def _divided(members: DataFrame, crowds: DataFrame, bands: DataFrame) -> DataFra
     return members.join(crowds, "key", "left_anti").unionByName(there.withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).select(members.columns))
 
 
+def _placed(crowded: DataFrame, of: DataFrame) -> DataFrame:
+    """Members (key, id, component) of buckets."""
+    return crowded.select("key", "id").join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+
+
+def _across(apart: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int, written: list[DataFrame]) -> DataFrame | None:
+    """Links (a, b) that join components within the buckets of ``apart`` (key, id, component), if any may. ``written`` takes the tables to discard."""
+    members = stored(apart.join(reps.select("id", "n_shingles", "sketch"), "id"))
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    needed = stored(_in_blocks(_block_rows(members, sizes), percent))
+    written += [members, needed]
+    if needed.isEmpty():
+        return None
+    written.append(stored(_confirm_blocks(needed, members, texts, words, percent)))
+    return written[-1]
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_shingles, component_id, kept) for each row of ``docs``."""
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -304,24 +322,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
     links = stored(_confirm_stars(alike, texts, words, percent).union(shared))
 
     of = components(links)
-    placed = crowded.select("key", "id").join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = lambda rows: rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    placed = _placed(crowded, of)
     several = stored(mixed(placed).select("key", "n"))
     crowds = several.where(F.col("n") > CROWD).select("key")
-    apart = placed.join(several.select("key"), "key")
+    apart, written = placed.join(several.select("key"), "key"), []
     if not crowds.isEmpty():
-        apart = stored(_divided(apart, crowds, reps.select("id", "bands")).distinct())
-        apart = apart.join(mixed(apart).select("key"), "key")
-    members = stored(apart.join(reps.select("id", "n_shingles", "sketch"), "id"))
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    rows = _block_rows(members, sizes)
-    needed = stored(_in_blocks(rows, percent))
-    if not needed.isEmpty():
-        more = links.union(_confirm_blocks(needed, members, texts, words, percent))
-        of = components(more)
+        divided = stored(_divided(apart, crowds, reps.select("id", "bands")).distinct())
+        if (found := _across(divided.join(mixed(divided).select("key"), "key"), reps, texts, words, percent, written)) is not None:
+            links = links.union(found)
+            of = components(links)
+        rest = stored(_placed(crowded.join(crowds, "key", "left_semi"), of))  # now those that share this band alone
+        apart = rest.join(mixed(rest).select("key"), "key")
+        written += [divided, rest]
+    if (found := _across(apart, reps, texts, words, percent, written)) is not None:
+        of = components(links.union(found))
     by_id = stored(ids.join(of, ids.rep == of.id, "left").groupBy(ids.id).agg(F.min(F.coalesce("component", "rep")).alias("component")))
     out = signed.select("id", "n_shingles").join(by_id, "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    for used in (reps, ids, crowded, alike, links, several, members, needed):
+    for used in (reps, ids, crowded, alike, several, *written):
         discard(used)
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

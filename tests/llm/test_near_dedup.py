@@ -75,6 +75,15 @@ def test_crowded_buckets_are_divided(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_crowds_keep_pairs_that_share_one_band(spark, monkeypatch):
+    # one band in common, all others a text's own: no second band can bring two members together
+    monkeypatch.setattr(minmax_dedup, "CROWD", 4)
+    monkeypatch.setattr(minmax_dedup, "band_keys", lambda values, band: np.append(7, np.random.default_rng(values).integers(100, 2**62, 23)))
+    monkeypatch.setattr(minmax_dedup, "_alike", lambda pairs: pairs.select("a", "b").where("false"))
+    rows = list(enumerate(texts(21, 60)))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_shared_ids_are_one_node(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     rows = [(3, a), (5, a), (5, b), (4, b), (9, c), (9, ""), (9, None), (5, c + " more")]
