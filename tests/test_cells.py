@@ -57,6 +57,17 @@ def test_no_row_for_a_set_and_an_edge(loops):
         assert "Join [cand_id" not in plan(made) and "Join [m#" not in plan(made)
 
 
+def test_choice_ranks_before_members_are_joined(loops, monkeypatch):
+    """The members of sets, the widest rows there are, are joined once, with what is left after cost and similarity."""
+    *_, g = loops
+    cands = candidates.neighbourhoods(g)
+    cost, sim = cands.selectExpr("cand_id", "cast(cand_id % 7 as double) AS cost"), cands.selectExpr("cand_id", "1.0D AS sim")
+    plans, stored = [], candidates.stored
+    monkeypatch.setattr(candidates, "stored", lambda df: (plans.append((df.columns, plan(df).count("Join"))), stored(df))[1])
+    assert candidates.greedy(cands, cost, sim, 30, 0.5).count()
+    assert [joins for columns, joins in plans if "members" in columns] == [1]
+
+
 def test_no_sets(loops):
     *_, g = loops
     none = candidates.neighbourhoods(g).where(F.lit(False))

@@ -286,6 +286,17 @@ def test_similar_pairs_in_blocks(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_blocks_send_32_bits_where_they_hold_the_vectors(spark):
+    # a row goes to each pair of blocks, so its width counts there
+    x = np.random.default_rng(2).normal(size=(30, 5)).astype(np.float32)
+    for own, width in ((x.astype(np.float64), 4), (x.astype(np.float64) + 1e-12, 8)):
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own)], "id long, x array<double>")
+        dealt = rows.mapInArrow(graphs._dealt_blocks(3), "bi int, bj int, side int, ids binary, width int, x binary").collect()
+        assert {r.width for r in dealt} == {width} and sum(len(r.x) for r in dealt) == 30 * 3 * 5 * width
+        want = {(i, j) for i in range(30) for j in range(i + 1, 30) if own[i] @ own[j] > 1.0}
+        assert {tuple(r) for r in graphs.similar_pairs(rows, 1.0).collect()} == want
+
+
 def planted(spark, n=40, seed=3):
     rng = random.Random(seed)
     y = [i % 2 for i in range(n)]
