@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from grainmill.graph import Graph
 from grainmill.operators import candidates, cells
+from grainmill.plans import spectral
 
 
 def plan(df):
@@ -68,6 +69,30 @@ def test_choice_ranks_before_members_are_joined(loops, monkeypatch):
     assert [joins for columns, joins in plans if "members" in columns] == [1]
 
 
+@pytest.mark.parametrize("portion", [3, 10**6])
+def test_laplacian_by_cells(loops, portion):
+    ids, w, x, g = loops
+    around = cells.Neighbours(g, portion)
+    own = w - np.diag(np.diag(w))
+    want = (np.diag(own.sum(axis=1)) - own) @ x
+    made = around.laplacian(g.nodes, 2)
+    assert "Join" not in plan(made)
+    got = {r.id: r.x for r in made.collect()}
+    assert np.allclose([got[i] for i in ids], want) and len(got) == len(ids)
+    around.discard()
+
+
+def test_components_go_through_few_links(loops, monkeypatch):
+    """One link a node, then what still joins components: never all edges in rounds."""
+    ids, w, _, g = loops
+    counts, components = [], spectral.components
+    monkeypatch.setattr(spectral, "components", lambda links, *ends: (counts.append(links.count()), components(links, *ends))[1])
+    got = {r.id: r.component for r in spectral._components(g).collect()}
+    reach = np.linalg.matrix_power((w > 0).astype(float) + np.eye(40), 40) > 0
+    assert got == {i: min(j for j, r in zip(ids, reach[k]) if r) for k, i in enumerate(ids)}
+    assert len(counts) == 2 and counts[0] <= 40 and counts[1] < 40
+
+
 def test_no_sets(loops):
     *_, g = loops
     none = candidates.neighbourhoods(g).where(F.lit(False))
