@@ -1,5 +1,7 @@
 """The Gauss-Seidel sweep in ranges of ids, and how many rounds it takes."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from grainmill.graph import Graph
 from grainmill.operators import proximity
 from grainmill.plans import stored as stored_module
+from grainmill.plans import training
 
 
 @pytest.mark.parametrize("most", [30, 10**6])
@@ -34,3 +37,12 @@ def test_a_long_path_takes_few_rounds(spark, monkeypatch):
     edges = pairs.toDF("src", "dst", "w").union(pairs.select("b", "a", "w"))
     proximity.gauss_seidel_vectors(Graph(spark.range(300), edges), 1).count()
     assert len(written) < 20
+
+
+def test_training_sweep_works_out_the_basis_once(spark, monkeypatch):
+    calls, owns = [], []
+    nodes, edges = spark.range(4).select("id"), spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "src long, dst long, w double")
+    monkeypatch.setattr(training, "basis", lambda graph, k: calls.append(k) or graph.nodes)
+    monkeypatch.setattr(training, "train", lambda graph, *a, own=None, **o: owns.append(own) or SimpleNamespace(runs=graph.nodes))
+    assert training.sweep(Graph(nodes, edges), 2, 2, (1, 2), (0.5, 0.6), k=3).count() == 16
+    assert calls == [3] and len(owns) == 4 and all(o is owns[0] and o is not None for o in owns)
