@@ -258,6 +258,14 @@ def test_levels(g, tmp_path, method, algorithm):
         assert nodes.where("level = 0").count() == N and edges.count() > 0
 
 
+@pytest.mark.parametrize("method", ["heavy_edge", "algebraic_JC", "kron", "variation_edges", "variation_triangles"])
+def test_a_basis_only_for_costs_by_it(g, monkeypatch, method):
+    asked = []
+    monkeypatch.setattr(multilevel, "basis", lambda *args: asked.append(args) or spectral.basis(*args))
+    out = multilevel.coarsen(g, 4, 0.3, 2, method, threshold=-10.0)
+    assert len(out.graphs) >= 2 and len(asked) == (1 if method.startswith("variation") else 0)
+
+
 def test_unknown_names(g):
     with pytest.raises(ValueError):
         multilevel.apply_graph_coarsening(g, "no_such_method")
