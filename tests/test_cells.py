@@ -98,3 +98,35 @@ def test_no_sets(loops):
     none = candidates.neighbourhoods(g).where(F.lit(False))
     assert candidates.costs(none, g, g.nodes.withColumnRenamed("x", "a"), 2).count() == 0
     assert candidates.subgraphs(none, g).count() == 0 and candidates.similarities(none, g.nodes, 2).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+@pytest.mark.parametrize("portion", [8, 10**6])
+def test_maximal_cliques_by_cells(loops, spark, monkeypatch, portion, most):
+    """Against a plain search, also with a hub and with copies; no join has a row for a clique or for a pair of neighbours."""
+    monkeypatch.setattr(candidates, "PORTION", portion)
+    monkeypatch.setattr(candidates, "MOST_SETS", most)
+    ids, w, x, g = loops
+    linked = w > 0
+    linked[5, :] = linked[:, 5] = True  # a hub
+    linked[10:18, 10:18] = True  # a set of copies
+    np.fill_diagonal(linked, False)
+    pairs = [(ids[a], ids[b], 1.0) for a, b in np.argwhere(linked)]
+    g = Graph(g.nodes, spark.createDataFrame(pairs, "src long, dst long, w double"))
+
+    def plain(chosen, may, no):
+        if not may and not no:
+            yield tuple(sorted(ids[v] for v in chosen))
+        for v in sorted(may):
+            near = set(np.flatnonzero(linked[v]))
+            yield from plain([*chosen, v], may & near, no & near)
+            may, no = may - {v}, no | {v}
+
+    out = candidates.cliques(g)
+    assert sorted(tuple(r.members) for r in out.collect()) == sorted(plain([], set(range(len(ids))), set()))
+    assert "Join" not in plan(out)
+
+
+def test_gaps():
+    for x in ([], [0], [254], [255], [256], [0, 1, 255, 510, 511, 5000]):
+        assert cells._from_gaps(cells._gaps(np.array(x, dtype=np.int64))).tolist() == x
