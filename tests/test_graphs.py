@@ -1,11 +1,13 @@
 """Invariants and hand-sized graphs, against plain numpy."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from grainmill import registry
 from grainmill.graph import Graph
 from grainmill.operators import algebra, build, candidates, frames, linalg, proximity, sage, selection
 from grainmill.plans import logs, multilevel, spectral, training
@@ -402,3 +404,12 @@ def test_logs(tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["run-1.log", "run.log"] and "line 1" in (tmp_path / "run-1.log").read_text()
     logs.logger("run", False, str(tmp_path), append=True).info("more")
     assert (tmp_path / "run.log").read_text().count("\n") == 2
+
+
+def test_apply_coarsening_runs_all_levels(spark, monkeypatch):
+    """The query leaves the ratio, the pairs and the levels as the operator has them."""
+    asked = []
+    monkeypatch.setattr(registry, "ge", lambda spark, d: None)
+    monkeypatch.setattr(multilevel, "coarsen", lambda graph, k, r, max_levels, method, **o: asked.append((k, r, max_levels, method)) or SimpleNamespace(counts=lambda: None))
+    registry.QUERIES["apply_coarsening"](spark, "")
+    assert asked == [(10, 0.5, 10, "heavy_edge")]
