@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.graph import Graph
-from grainmill.operators import proximity
+from grainmill.operators import candidates, proximity
 from grainmill.plans import stored as stored_module
 from grainmill.plans import training
 
@@ -46,3 +46,21 @@ def test_training_sweep_works_out_the_basis_once(spark, monkeypatch):
     monkeypatch.setattr(training, "train", lambda graph, *a, own=None, **o: owns.append(own) or SimpleNamespace(runs=graph.nodes))
     assert training.sweep(Graph(nodes, edges), 2, 2, (1, 2), (0.5, 0.6), k=3).count() == 16
     assert calls == [3] and len(owns) == 4 and all(o is owns[0] and o is not None for o in owns)
+
+
+def test_training_sweep_costs_the_first_level_once(spark, monkeypatch):
+    """Sets, costs and similarities of the first level are the same for all settings; runs are as without sharing."""
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a in range(30) for b in range(a) if rng.random() < 0.2]
+    nodes = spark.createDataFrame([(i, rng.normal(size=3).tolist(), i % 2) for i in range(30)], "id long, x array<double>, y int")
+    g = Graph(nodes, spark.createDataFrame([(a, b, 1.0) for p in pairs for a, b in (p, p[::-1])], "src long, dst long, w double"))
+    costs, calls = candidates.costs, []
+    monkeypatch.setattr(candidates, "costs", lambda *a: calls.append(1) or costs(*a))
+    monkeypatch.setattr(training, "level_ratio", lambda level: 0.4)
+    options = {"levels": 1, "k": 4, "hidden": 4}
+    got = training.sweep(g, 3, 2, (1,), (0.1, 0.9), **options).collect()
+    assert len(calls) == 1
+    alone = [training.train(g, 3, 2, epochs_per_level=1, threshold=t, **options).runs.first() for t in (0.1, 0.9)]
+    assert len(calls) == 3
+    for a, b in zip(got, alone):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:])
